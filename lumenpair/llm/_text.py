@@ -63,10 +63,10 @@ def ngrams(tok: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
         long = np.repeat(full, have)
         out[long] = g[at[long]]
     for d in np.flatnonzero((count > 0) & ~full):
-        v = tok[off[d]]
+        v = tok[off[d] : off[d] + 1]
         for k in range(off[d] + 1, off[d + 1]):
-            v = mix(np.array([v]))[0] + tok[k]
-        out[goff[d]] = mix(np.array([v + U(count[d])]))[0]
+            v = mix(v) + tok[k : k + 1]
+        out[goff[d]] = mix(v + U(count[d]))[0]
     return mix(out), goff, pos
 
 

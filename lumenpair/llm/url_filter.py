@@ -53,7 +53,7 @@ def logits(weights: np.ndarray, bias: float, index: np.ndarray, ends: np.ndarray
     return bias + (sums[ends[1:]] - sums[ends[:-1]]) / np.sqrt(np.maximum(n, 1))
 
 
-def train(examples: list[tuple[str | None, int]], ridge: float = 1e-3, rounds: int = 400, rate: float = 1.0) -> tuple[np.ndarray, float]:
+def train(examples: list[tuple[str | None, int]], ridge: float = 3e-4, rounds: int = 600, rate: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias, by full-batch gradient descent from zero: the same table always gives the same model. No examples: all weights are zero."""
     w, bias = np.zeros(1 << BITS), 0.0
     examples = [(u, y) for u, y in examples if y is not None]
