@@ -3,11 +3,11 @@
 The set of a document is that of its word trigrams; pairs of similarity SIMILARITY or more are found, all of them, at distance t = 1 - SIMILARITY.
 
 1. Regions across the cluster. In a metric space of this many dimensions almost every document is at distance 1 from any pivot drawn from the corpus,
-   so pivots are found where distances under 1 are: by shared n-grams. Each n-gram of a document's prefix (a share of its set, in an order
-   that puts frequent n-grams last) belongs to a pivot, the least doc_id that has it, and a document goes to the regions of the
-   pivots that own most of its prefix. Two documents within t have at least k = share * size prefix n-grams in common; a document
-   may leave out pivots that own less than s/(1+s) of k, and still any such pair keeps one in common. That bound, not a guess, says
-   which boundary documents are replicated.
+   so pivots are found where distances under 1 are: by shared n-grams. Each n-gram belongs to a pivot, the least doc_id that has it, and a
+   document goes to the regions of the pivots that own most of its set. Two documents a, b within t have at least
+   s/(1+s) * (|a| + |b|) n-grams in common; so a document may leave out the pivots that own the least, as long as they own less than
+   s/(1+s) of its set together, and any such pair still keeps a pivot in common. That bound, not a guess, says which boundary
+   documents are replicated, and to where; documents whose overlaps are chance go nowhere.
 2. Inside a region, more pivots make Voronoi cells; a document is replicated to every cell within the triangle-inequality window of 2t, and cells are
    joined in turn, until they are small, or distances no longer part them; then by exact set intersections.
 """
@@ -26,10 +26,8 @@ from lumenpair.llm import _text as text
 from lumenpair.llm._spark import cut, free, partitions, table
 
 WORDS, SIMILARITY = 3, 0.5
-#: Prefix n-grams that near documents share for certain, as a share of the set. More lets chance pivots go, and lengthens the prefix.
-SHARE = 0.15
-#: N-grams in more than one of so many documents go last in the order. It changes no result.
-FREQUENT = 2000
+#: What pivots may own of a set and yet be left out.
+SPARE = 0.999 * SIMILARITY / (1 + SIMILARITY)
 #: Sets that are joined without further pivots; cells of a matrix at once.
 LEAF, CELLS = 1500, 6_000_000
 U = np.uint64
@@ -41,65 +39,23 @@ def sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(gram[s:e]) for s, e in zip(off[:-1], off[1:])]
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """N-grams that are in more than 1/FREQUENT of a task's documents, and so by sum of the corpus; at most FREQUENT times the mean set size."""
-
-    def run(batches):
-        n, held, kept = 0, [], {}
-
-        def settle():
-            gram, count = np.unique(np.concatenate(held), return_counts=True)
-            some = count >= max(4, n // FREQUENT)
-            for g, c in zip(gram[some].tolist(), count[some].tolist()):
-                kept[g] = kept.get(g, 0) + c
-
-        for part in text.pieces(batches):
-            held += sets(part.column(0))
-            n += part.num_rows
-            if sum(map(len, held)) > blocks.HOLD:
-                settle()
-                held, n = [], 0
-        if held:
-            settle()
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(kept), np.uint64).view(np.int64)), pa.array(list(kept.values()), pa.int64())], ["g", "n"])
-
-    docs = docs.select("text")
-    least = max(32, docs.count() // FREQUENT)
-    got = docs.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("g").toPandas()
-    return np.sort(got["g"].to_numpy(np.int64).view(np.uint64))
-
-
-def prefix(grams: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, float]:
-    """(the prefix of a set in the common order, what pivots may own and yet be left out)."""
-    m = len(grams)
-    n = min(m, m - int(np.ceil(SIMILARITY * m - 1e-9)) + int(np.ceil(SHARE * m)))
-    if len(last) and n < m:
-        at = np.searchsorted(last, grams)
-        at[at == len(last)] = 0
-        late = last[at] == grams
-        grams = np.concatenate([grams[~late], grams[late]])
-    return grams[:n], 0.999 * SIMILARITY / (1 + SIMILARITY) * SHARE * m
-
-
 def regions(docs: DataFrame) -> DataFrame:
     """(doc_id, regions array<bigint>) of each document that may have a partner: the pivots to whose regions it goes."""
     reducers = partitions(docs)
     buckets = reducers * 4
-    last = docs.sparkSession.sparkContext.broadcast(frequent(docs))
     own = lambda ids: text.mix(ids.view(np.uint64)) % U(buckets)
 
     def send(batches):
         grams, spare = blocks.Sender(buckets), blocks.Sender(buckets, kind=1)
         for part in text.pieces(batches):
             ids, found = np.asarray(part.column(0)), sets(part.column(1))
-            cutoff = [prefix(s, last.value) for s in found]
-            n = np.array([len(p) for p, _ in cutoff])
+            n = np.array([len(x) for x in found])
             some = n > 0
             if some.any():
-                g = np.concatenate([p for p, _ in cutoff])
+                g = np.concatenate(found)
                 # a reducer needs to tell n-grams apart, not to know them: where two look alike their documents only meet once more
                 yield from grams.add(g % U(buckets), ((g // U(buckets)) & U(0xFFFFFFFF)).astype(np.uint32), np.repeat(ids, n), np.zeros(len(g), np.int8))
-                yield from spare.add(own(ids[some]), ids[some], np.array([d for _, d in cutoff])[some], np.zeros(some.sum(), np.int8))
+                yield from spare.add(own(ids[some]), ids[some], SPARE * n[some], np.zeros(some.sum(), np.int8))
         yield from grams.flush()
         yield from spare.flush()
 
