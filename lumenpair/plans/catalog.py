@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from lumenpair.plans import fields, relations
+
+MODULES = (fields, relations)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
+ENTRY = fields.c2_dates
