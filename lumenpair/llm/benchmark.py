@@ -1,4 +1,4 @@
-"""Operator 1: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment."""
+"""Operator 1: benchmark decontamination by n-gram seeds and Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lumenpair.llm import _text as text
 from lumenpair.llm._spark import free, table
 
-#: Words in a seed; the share of an item's n-grams, its rarest in the corpus, that are seeds; an item of fewer words matches nothing.
-SEED_WORDS, SEED_SHARE, MIN_ITEM_WORDS = 3, 0.5, 8
+#: Words in a seed, of which an item has all; an item of fewer words matches nothing.
+SEED_WORDS, MIN_ITEM_WORDS = 3, 8
 #: Smith-Waterman scores of words, and the least score of a leak as a share of the item's score with itself.
 MATCH, MISMATCH, GAP, LEAST = 2.0, -1.0, 1.0, 0.4
 #: Words of test items that are broadcast at once; beyond it they go in groups, a pass each.
@@ -32,6 +32,12 @@ def align(item: np.ndarray, passage: np.ndarray) -> float:
     return best
 
 
+def ceiling(item: np.ndarray, passage: np.ndarray) -> float:
+    """No alignment scores more: in the stretch of the item that it covers, each word that the passage lacks costs a mismatch or a gap."""
+    total = np.cumsum(np.where(np.isin(item, passage), MATCH, max(MISMATCH, -GAP)))
+    return float((total - np.minimum.accumulate(np.r_[0, total])[:-1]).max(initial=0))
+
+
 class Items:
     """Words and n-grams of test items."""
 
@@ -39,24 +45,14 @@ class Items:
         tok, off = text.hashed(pa.array(texts, pa.large_string()))
         self.ids = ids
         self.words = [tok[off[i] : off[i + 1]] for i in range(len(ids))]
+        self.size = np.diff(off)
         gram, goff, pos = text.ngrams(tok, off, SEED_WORDS)
         item = np.repeat(np.arange(len(ids)), np.diff(goff))
-        long = np.diff(off)[item] >= MIN_ITEM_WORDS if len(item) else np.zeros(0, bool)
+        long = self.size[item] >= MIN_ITEM_WORDS if len(item) else np.zeros(0, bool)
         order = np.argsort(gram[long], kind="stable")
         self.gram, self.item, self.pos = gram[long][order], item[long][order], pos[long][order]
         self.distinct = np.unique(self.gram)
 
-    def rare(self, df: np.ndarray) -> None:
-        """Keeps as seeds the rarest n-grams of each item, with all that are as rare: an item copied everywhere keeps its share too."""
-        count = df[np.searchsorted(self.distinct, self.gram)]
-        keep = np.zeros(len(self.gram), bool)
-        for i in np.unique(self.item):
-            own = self.item == i
-            c = np.sort(count[own])
-            keep |= own & (count <= c[max(0, int(np.ceil(SEED_SHARE * len(c))) - 1)])
-        self.gram, self.item, self.pos = self.gram[keep], self.item[keep], self.pos[keep]
-        self.distinct = np.unique(self.gram)
-
     def find(self, gram: np.ndarray) -> np.ndarray:
         """Index of each n-gram among the distinct ones, -1 where it is none."""
         if not len(self.distinct):
@@ -66,25 +62,24 @@ class Items:
         return np.where(self.distinct[at] == gram, at, -1)
 
     def leaks(self, words: np.ndarray, gram: np.ndarray, at: np.ndarray) -> list[tuple[int, float]]:
-        """[(item, score)] of a text. at: the places in the text of n-grams that are seeds. Seeds of one item on near diagonals share a window as
-        long as the item on both sides; each window is aligned whole."""
+        """[(item, score)] of a text. at: the places in the text of n-grams that are seeds. Seeds of one item on near diagonals share a window, which
+        reaches as far as gaps can take an alignment that scores LEAST; each window is aligned whole, unless its ceiling is too low."""
         lo, hi = np.searchsorted(self.gram, gram[at], "left"), np.searchsorted(self.gram, gram[at], "right")
         n = hi - lo
         k = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         item, diagonal = self.item[k], np.repeat(at, n) - self.pos[k]
         order = np.lexsort((diagonal, item))
         item, diagonal, out = item[order], diagonal[order], {}
-        start = 0
-        for e in range(1, len(item) + 1):
-            if e < len(item) and item[e] == item[start] and diagonal[e] - diagonal[e - 1] <= len(self.words[item[e]]):
-                continue
-            own = self.words[item[start]]
-            slack = len(own) // 2 + 4
-            window = words[max(0, diagonal[start] - slack) : diagonal[e - 1] + len(own) + slack]
-            s = align(own, window) / (MATCH * len(own))
-            if s >= LEAST:
-                out[item[start]] = max(s, out.get(item[start], 0))
-            start = e
+        first = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (np.diff(diagonal) > self.size[item[1:]])])
+        last = np.r_[first[1:], len(item)] - 1
+        for i, low, high in zip(item[first].tolist(), diagonal[first].tolist(), diagonal[last].tolist()):
+            own = self.words[i]
+            slack = int((1 - LEAST) * MATCH * len(own) / GAP) + 1
+            window, full = words[max(0, low - slack) : high + len(own) + slack], MATCH * len(own)
+            if ceiling(own, window) >= LEAST * full:
+                s = align(own, window) / full
+                if s >= LEAST:
+                    out[i] = max(s, out.get(i, 0))
         return sorted(out.items())
 
 
@@ -101,39 +96,14 @@ def groups(benchmark: DataFrame):
         yield rows
 
 
-def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """Number of documents that hold each n-gram of the items, over the whole corpus."""
-    handle = docs.sparkSession.sparkContext.broadcast(items.distinct)
-
-    def run(batches):
-        known = handle.value
-        n = np.zeros(len(known), np.int64)
-        for part in text.pieces(batches):
-            tok, off = text.hashed(part.column(0))
-            gram, goff, _ = text.ngrams(tok, off, SEED_WORDS)
-            at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-            hit = np.flatnonzero(known[at] == gram)
-            doc = np.repeat(np.arange(len(goff) - 1), np.diff(goff))[hit]
-            n += np.bincount(np.unique(doc * len(known) + at[hit]) % len(known), minlength=len(known))
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some], pa.int64())], ["g", "n"])
-
-    out = np.zeros(len(items.distinct), np.int64)
-    if len(out):
-        got = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toPandas()  # one row for each n-gram at most
-        out[got["g"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score) for each document and test item whose alignment scores at least LEAST of the item with itself.
+    """(doc_id, item_id, score) for each document and test item whose alignment scores at least LEAST of the item with itself, where they share an n-gram of SEED_WORDS.
 
     Null or empty texts and null ids match nothing, nor do items of under MIN_ITEM_WORDS words. Rows that share a doc_id are one document, and items
-    that share an item_id one item, with the best score. Texts count whole. Two scans; no text is shuffled."""
+    that share an item_id one item, with the best score. Texts count whole. One scan; no text is shuffled."""
     out = None
     for rows in groups(benchmark):
         items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        items.rare(frequencies(docs, items))
         handle = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, handle=handle):

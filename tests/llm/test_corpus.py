@@ -156,6 +156,24 @@ def test_decontamination(spark, docs, empty):
     assert benchmark.keep_clean(docs, items).columns == docs.columns
 
 
+def test_decontamination_against_brute_force(spark):
+    r, rows, items = random.Random(12), [], []
+    for k in range(24):
+        item = prose(r.randint(15, 60), 700 + k).split()
+        half = item[: len(item) // 2 + 1]
+        copy = [item[:3] + [w if j % 4 else "zz" for j, w in enumerate(item[3:])], half, [w if r.random() > 0.2 else r.choice(VOCAB) for w in item]][k % 3]  # the item's only trace
+        items.append((k, " ".join(item)))
+        rows.append((k, prose(80, 800 + k) + " " + " ".join(copy) + " " + prose(80, 900 + k)))
+    rows += [(100 + k, prose(40, 990 + k) + " " + " ".join(items[1][1].split()[:30])) for k in range(20)]  # a half that is everywhere
+    rows += [(200, prose(30, 980) + " " + " ".join(items[1][1].split()[-3:]))]
+    words = lambda t: t.lower().split()
+    grams = lambda t: {tuple(words(t)[k : k + 3]) for k in range(len(words(t)) - 2)}
+    want = {(d, i): s for d, t in rows for i, x in items if grams(t) & grams(x) and (s := plain_score(words(x), words(t)) / (2 * len(words(x)))) >= benchmark.LEAST}
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in benchmark.leaks(d, b).collect()}
+    assert {(k, k) for k in range(24)} <= set(want) and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
 def test_quality(spark, docs, empty):
     bad = lambda k: "### $$$ %%% &&& " * (20 + k)
     rows = [(k, prose(50 + k, k) if k % 2 else bad(k)) for k in range(120)]
