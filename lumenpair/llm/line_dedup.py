@@ -6,12 +6,12 @@ from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenpair.llm._spark import free, table
 
-#: A line of fewer words is left alone: headings and short stock phrases repeat in clean documents.
+#: A line of fewer words is left alone by repeats(), and by passages() a run of lines of fewer: headings and short stock phrases repeat in clean documents.
 MIN_WORDS = 20
 
 
@@ -53,11 +53,43 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return u.join(first, "digest").filter("again OR doc_id <> first_doc_id").select("doc_id", "unit", "start_char", "end_char", "first_doc_id")
 
 
+def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, start_char, end_char, first_doc_id) for each run of lines, however short each, that repeats: every two neighbours among its lines
+    follow each other in an earlier document or earlier in the same, and all together have min_words words. Blank lines are passed over.
+
+    first_doc_id is the least document that has two of the lines. Rows that share a doc_id are one document, but no run crosses rows."""
+
+    def run(batches):
+        names = ["doc_id", "row", "k", "start_char", "end_char", "left", "right", "digest", "again"]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+        for batch in batches:
+            rows: list = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if doc is None or not text:
+                    continue
+                lines, seen, row = text.split("\n"), set(), xxhash.xxh3_128_digest(text)
+                starts = accumulate((len(x) + 1 for x in lines), initial=0)
+                full = [(parts, start, start + len(line)) for line, start in zip(lines, starts) if (parts := line.lower().split())]
+                for k, ((a, start, _), (b, _, end)) in enumerate(zip(full, full[1:])):
+                    digest = xxhash.xxh3_128_digest(" ".join(a) + "\n" + " ".join(b))
+                    rows.append((doc, row, k, start, end, len(a), len(b), digest, digest in seen))
+                    seen.add(digest)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+    u = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, row binary, k int, start_char int, end_char int, left int, right int, digest binary, again boolean")
+    first = u.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    pairs = u.join(first, "digest").filter("again OR doc_id <> first_doc_id").drop("digest", "again").distinct()
+    island = pairs.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("k")))
+    runs = island.groupBy("doc_id", "row", "island").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"), F.min("first_doc_id").alias("first_doc_id"), (F.min_by("left", "k") + F.sum("right")).alias("words"))
+    return runs.filter(F.col("words") >= min_words).select("doc_id", "start_char", "end_char", "first_doc_id")
+
+
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated lines out of `text` (with their line feed), and removed_spans, the original offsets of what went. All other columns stay.
+    """docs with the repeated lines and runs of lines out of `text` (with their line feed), and removed_spans, the original offsets of what went. All other columns stay.
     A document of which nothing is left has an empty text."""
     spans, text = free(docs, "spans"), F.col("`text`")
-    gone = repeats(docs, min_words).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias(spans))
+    both = repeats(docs, min_words).select("doc_id", "start_char", "end_char").unionByName(passages(docs, min_words).select("doc_id", "start_char", "end_char"))
+    gone = both.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias(spans))
     out = docs.join(gone.withColumnRenamed("doc_id", free(docs, "id")), F.col("`doc_id`") == F.col(free(docs, "id")), "left").drop(free(docs, "id"))
 
     def strip(texts, all_spans):
@@ -68,8 +100,8 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 return t
             kept, at = [], 0
             for x in s:
-                kept.append(t[at : x["start_char"]])
-                at = x["end_char"] + 1
+                kept.append(t[at : x["start_char"]])  # empty where spans overlap
+                at = max(at, x["end_char"] + 1)
             return "".join(kept) + t[at:]
 
         return pd.Series([one(t, s) for t, s in zip(texts, all_spans)])

@@ -112,6 +112,20 @@ def test_line_dedup(docs, empty):
     assert docs.count() == line_dedup.remove(docs).count()
 
 
+def test_passages_of_short_lines(spark):
+    poem = "\n".join(prose(6, 600 + k) + ("\n" if k % 3 == 2 else "") for k in range(9))
+    mixed = prose(6, 620) + "\n" + prose(30, 621) + "\n" + prose(5, 622)
+    note = prose(5, 630) + "\n" + prose(4, 631)  # 9 words: too few
+    rows = [(k, prose(40, 640 + k) + "\n" + part + "\n" + prose(40, 660 + k)) for k, part in enumerate([poem, poem, mixed, mixed, note, note])]
+    rows += [(10, prose(40, 670) + "\n" + poem + "\n" + prose(40, 671) + "\n" + poem), (11, "\n".join(poem.split("\n")[::2])), (None, poem), (12, None)]
+    d, text = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
+    got = {(r.doc_id, text[r.doc_id][r.start_char : r.end_char].strip("\n"), r.first_doc_id) for r in line_dedup.passages(d).collect()}
+    assert got == {(1, poem.strip("\n"), 0), (3, mixed, 2), (10, poem.strip("\n"), 0)}
+    left = {r.doc_id: r.text for r in line_dedup.remove(d).filter("doc_id IS NOT NULL").collect()}
+    assert poem.split("\n")[0] in left[0] and not [w for w in poem.split("\n") if w and w in left[1] + left[10]]
+    assert prose(30, 621) not in left[3] and prose(6, 620) not in left[3] and note in left[5] and left[11] == text[11]
+
+
 def test_phrase_dedup(docs, spark, empty):
     got = phrase_dedup.spans(docs).collect()
     five = [r for r in got if r.doc_id == 5]
