@@ -14,14 +14,26 @@ UNWANTED = "casino-royal lucky-casino bets-online sportsbets bet-now poker-king
 WANTED = "news library science weather garden history museum school travel recipes council journal archive theatre forum docs market sports music health energy bank river mountain thesis ontario anderson thornton reading shire heather winter therapy breathe another weathering nature station education mathematics hearth northern theory ethics rhythm thread anthology tradition nation inland wheat".split()
 
 
+#: Hosts that tell nothing: they come with either label, with words of either kind in the path.
+NEUTRAL = "acme plain corner studio atlas maple harbor stone vertex lumen orbit cedar".split()
+LANGUAGES = ("en", "fr", "de", "es")
+
+
 def labelled_urls() -> list[tuple[str, int]]:
+    """Words of either kind as hosts, with paths that don't tell; then the same words in paths, on hosts that don't. Each shape and language of a
+    path, sub-domain, ending and neutral host comes with both labels alike."""
     out = []
-    for k, (label, stems) in enumerate(((1, UNWANTED), (0, WANTED))):
-        for i, stem in enumerate(stems):
+    shapes = ("/{w}", "/{l}/{w}", "/{w}/{n}", "/{l}/{w}/index.html", "/page/{w}-{n}", "/{n}/{w}.html", "/{l}/{n}/{w}?ref=x", "/{a}/{b}")
+    for label, stems in ((1, UNWANTED), (0, WANTED)):
+        for k in range(max(len(UNWANTED), len(WANTED))):  # as many rows of either label
+            stem = stems[k % len(stems)]
             for j, sub in enumerate(("", "www.", "blog.", "m.")):
-                end = ("com", "net", "org")[(i + j) % 3]
-                path = (f"/{('en', 'fr', 'de', 'es')[(i + j + k) % 4]}/{137 * i + 31 * j}", f"/{i}/index.html", f"/page/{i}?ref=x", f"/en/{i}?utm_source=feed")[(i + j) % 4]
+                end, lang = ("com", "net", "org")[(k + j) % 3], LANGUAGES[(k + 2 * j) % 4]
+                path = (f"/{lang}/{137 * k + 31 * j}", f"/{k}/index.html", f"/page/{k}?ref=x", f"/{lang}/{k}?utm_source=feed")[(k + j) % 4]
                 out.append((f"http{'s' * (j % 2)}://{sub}{stem}.example.{end}{path}", label))
+                shape = shapes[(k + 2 * j) % len(shapes)]
+                path = shape.format(w=stem, a=stem.split("-")[0], b=stem.split("-")[-1], l=lang, n=17 * k + j)
+                out.append((f"http{'s' * (j % 2)}://{sub}{NEUTRAL[k % len(NEUTRAL)]}.example.{end}{path}", label))
     return out
 
 

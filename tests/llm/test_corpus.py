@@ -261,6 +261,14 @@ def test_urls(spark):
     assert [r.score for r in got if r.page_id is None] == [None]
 
 
+def test_urls_that_only_their_path_marks(spark):
+    bad = ["/casino/free-spins", "/de/casino-royal/44", "/fr/payday-loan.html", "/torrent/crack", "/en/news/poker-king.html"]
+    good = ["/science/museum", "/fr/weather-news", "/recipes/12", "/fr/2931", "/de/12", "/en/7", "/es/41?page=2", "/page/9", "/4/index.html"]
+    urls = [f"http://quiet.example.org{p}" for p in bad + good] + [f"http://www.casino-royal.example.com/{c}/2239" for c in ("en", "fr", "de", "es")]
+    got = url_filter.score(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert [r.unwanted for r in sorted(got, key=lambda r: r.page_id)] == [True] * len(bad) + [False] * len(good) + [True] * 4
+
+
 def test_pipeline_keeps_its_contract(spark):
     import corpus_pipeline as p
 
