@@ -122,7 +122,7 @@ def discount(counts: np.ndarray) -> float:
 
 def continuations(docs: DataFrame, vocab_model: Model) -> np.ndarray:
     """For each word id the number of its different left neighbours over all documents. Tasks send the pairs that they met, each once, as
-    differences of sorted keys; what is gathered grows with the corpus, what comes back is one number for each word of the vocabulary."""
+    differences of sorted keys; what is gathered is bounded by the pairs of the vocabulary, what comes back is one number for each of its words."""
     reducers, size = partitions(docs), len(vocab_model.vocab) + 1
     handle = docs.sparkSession.sparkContext.broadcast(vocab_model)
 
