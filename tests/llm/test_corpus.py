@@ -105,7 +105,7 @@ def test_line_dedup(docs, empty):
     got = line_dedup.repeats(docs).collect()
     text = TEXTS[5][1]
     at = text.index(PASSAGE)
-    assert (5, 1, at, at + len(PASSAGE), 4) in [tuple(r) for r in got]
+    assert (5, at, at + len(PASSAGE), 80, 4) in [tuple(r) for r in got]
     removed = {r.doc_id: r.text for r in line_dedup.remove(docs).filter("doc_id IN (4, 5, 6)").collect()}
     assert PASSAGE in removed[4] and PASSAGE not in removed[5] and removed[6] == ""
     assert line_dedup.repeats(empty).count() == 0 and line_dedup.remove(empty).count() == 0
@@ -119,13 +119,60 @@ def test_passages_of_short_lines(spark):
     rows = [(k, prose(40, 640 + k) + "\n" + part + "\n" + prose(40, 660 + k)) for k, part in enumerate([poem, poem, mixed, mixed, note, note])]
     rows += [(10, prose(40, 670) + "\n" + poem + "\n" + prose(40, 671) + "\n" + poem), (11, "\n".join(poem.split("\n")[::2])), (None, poem), (12, None)]
     d, text = spark.createDataFrame(rows, "doc_id long, text string"), dict(rows)
-    got = {(r.doc_id, text[r.doc_id][r.start_char : r.end_char].strip("\n"), r.first_doc_id) for r in line_dedup.passages(d).collect()}
+    got = {(r.doc_id, text[r.doc_id][r.start_char : r.end_char].strip("\n"), r.first_doc_id) for r in line_dedup.repeats(d).collect()}
     assert got == {(1, poem.strip("\n"), 0), (3, mixed, 2), (10, poem.strip("\n"), 0)}
     left = {r.doc_id: r.text for r in line_dedup.remove(d).filter("doc_id IS NOT NULL").collect()}
     assert poem.split("\n")[0] in left[0] and not [w for w in poem.split("\n") if w and w in left[1] + left[10]]
     assert prose(30, 621) not in left[3] and prose(6, 620) not in left[3] and note in left[5] and left[11] == text[11]
 
 
+def plain_runs(rows, least):
+    """Repeated runs of units, by comparing every link with all that came before."""
+    split = {d: [u for u in line_dedup.units(t)] for d, t in rows}
+    order = sorted((d, k, kind) for d, us in split.items() for k in range(len(us)) for kind in (1, 2) if k + kind <= len(us) and (kind == 2 or us[k][1] >= least))
+    name = lambda d, k, kind: tuple(u[0] for u in split[d][k : k + kind])
+    out = []
+    for d, us in split.items():
+        covered, first, joined = set(), {}, set()
+        for k in range(len(us)):
+            for kind in (1, 2):
+                if (d, k, kind) in order:
+                    same = [o for o in order if o[2] == kind and name(*o) == name(d, k, kind)]
+                    if min(same)[:2] < (d, k):
+                        covered |= set(range(k, k + kind))
+                        first[k] = min(first.get(k, 10**9), same[0][0])
+                        if kind == 2:
+                            joined.add(k)
+        k = 0
+        while k < len(us):
+            if k not in covered:
+                k += 1
+                continue
+            end = k
+            while end in joined:
+                end += 1
+            if sum(u[1] for u in us[k : end + 1]) >= least:
+                out.append((d, us[k][2], us[end][3], sum(u[1] for u in us[k : end + 1]), min(first[j] for j in range(k, end + 1) if j in first)))
+            k = end + 1
+    return sorted(out)
+
+
+def test_line_dedup_against_brute_force(spark):
+    r, pool = random.Random(31), [prose(n, 3000 + n) for n in range(1, 26)]
+    rows = [(d, "".join(r.choice(pool) + r.choice([". ", "\n", "! ", "?\n\n", " ... "]) for _ in range(r.randint(0, 14)))) for d in range(60)]
+    rows += [(60, rows[3][1]), (61, "x" * 70_000 + ". " + rows[3][1])]
+    got = sorted(tuple(x) for x in line_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain_runs(rows, line_dedup.MIN_WORDS) and len(got) > 20
+
+
+def test_rows_that_share_a_doc_id_lose_only_their_own_repeats(spark):
+    kept, other = prose(60, 41), prose(60, 42)
+    rows = [(1, kept), (2, kept + "\n" + prose(30, 43)), (2, other), (2, other), (3, prose(9, 44) + ". " + kept.upper() + ". " + prose(9, 45))]
+    left = [r.text for r in line_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", F.length("text")).collect()]
+    assert left[0] == kept and left[1] == prose(30, 43) and left[2] == left[3] == other
+    assert left[4].split() == (prose(9, 44) + ". " + prose(9, 45)).split()
+
+
 def test_phrase_dedup(docs, spark, empty):
     got = phrase_dedup.spans(docs).collect()
     five = [r for r in got if r.doc_id == 5]
