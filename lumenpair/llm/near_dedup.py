@@ -1,15 +1,17 @@
 """Operator 5: exact join of documents by the Jaccard distance of their word n-grams, in regions around pivots.
 
-The set of a document is that of its word trigrams; pairs of similarity SIMILARITY or more are found, all of them, at distance t = 1 - SIMILARITY.
+The set of a document is that of its word trigrams. Two texts are linked where their sets have a similarity of SIMILARITY or more, so a distance of at most
+t = 1 - SIMILARITY; every link is found. Texts with the same words are one node (by a 64-bit digest), so copies are never compared.
 
 1. Regions across the cluster. In a metric space of this many dimensions almost every document is at distance 1 from any pivot drawn from the corpus,
-   so pivots are found where distances under 1 are: by shared n-grams. Each n-gram belongs to a pivot, the least doc_id that has it, and a
-   document goes to the regions of the pivots that own most of its set. Two documents a, b within t have at least
-   s/(1+s) * (|a| + |b|) n-grams in common; so a document may leave out the pivots that own the least, as long as they own less than
-   s/(1+s) of its set together, and any such pair still keeps a pivot in common. That bound, not a guess, says which boundary
-   documents are replicated, and to where; documents whose overlaps are chance go nowhere.
-2. Inside a region, more pivots make Voronoi cells; a document is replicated to every cell within the triangle-inequality window of 2t, and cells are
-   joined in turn, until they are small, or distances no longer part them; then by exact set intersections.
+   so pivots are found where distances under 1 are: by shared n-grams. Each n-gram belongs to a pivot, the node of least rank that has it, and a
+   node goes to the regions of pivots that own part of its set. Two nodes a, b within t have at least
+   s/(1+s) * (|a| + |b|) n-grams in common; so a node may leave out any pivots that own less than
+   s/(1+s) of its set together, and any linked two still keep a pivot in common. That bound, not a guess, says which boundary
+   documents are replicated, and to where. Ranks are random, and the least of f of them is about 1/f of the greatest: what owns common n-grams is left out first.
+2. A region of more than CELL nodes is parted over tasks: pivots drawn from it make Voronoi cells, and a node is a guest of each lesser cell within the
+   triangle-inequality window of 2t; cells that stay large, as all their nodes are close, are parted into blocks.
+3. Inside a task more pivots make cells again, in turn, until they are small, or distances no longer part them; then by exact set intersections.
 """
 
 from __future__ import annotations
@@ -26,11 +28,17 @@ from lumenpair.llm import _text as text
 from lumenpair.llm._spark import cut, free, partitions, table
 
 WORDS, SIMILARITY = 3, 0.5
+T = 1 - SIMILARITY + 1e-9
 #: What pivots may own of a set and yet be left out.
 SPARE = 0.999 * SIMILARITY / (1 + SIMILARITY)
 #: Sets that are joined without further pivots; cells of a matrix at once.
 LEAF, CELLS = 1500, 6_000_000
+#: Nodes of a region that one task takes, and pivots that part a larger one.
+CELL, PIVOTS = 4000, 32
+#: Frequent n-grams, looked for in a sample of 1 / SAMPLE of the nodes: they bring their pivot along instead of meeting in one task. Only the plan depends on them.
+FREQUENT, SAMPLE = 16_384, 64
 U = np.uint64
+KEY = ["region", "cell", "block"]
 
 
 def sets(texts: pa.Array) -> list[np.ndarray]:
@@ -39,49 +47,85 @@ def sets(texts: pa.Array) -> list[np.ndarray]:
     return [np.unique(gram[s:e]) for s, e in zip(off[:-1], off[1:])]
 
 
-def regions(docs: DataFrame) -> DataFrame:
-    """(doc_id, regions array<bigint>) of each document that may have a partner: the pivots to whose regions it goes."""
-    reducers = partitions(docs)
+def nodes(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, text) of the rows with both; texts with the same words have the same node, those without words a null one."""
+    words = F.trim(F.regexp_replace(F.lower("text"), r"[^\pL\pN]+", " "))
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.when(words != "", F.xxhash64(words)).alias("node"), "text")
+
+
+def frequent(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, their pivots) of up to `most` n-grams that are most frequent in the sample; tasks keep Misra-Gries counters."""
+
+    def count(batches):
+        g, n, low = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for part in text.pieces(batches):
+            found, own = sets(part.column(1)), np.asarray(part.column(0)).view(np.uint64)
+            size = [len(x) for x in found]
+            g, n, low = np.concatenate([g, *found]), np.r_[n, np.ones(sum(size), np.int64)], np.r_[low, np.repeat(own, size)]
+            order = np.argsort(g, kind="stable")
+            start = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1]]) if len(g) else np.zeros(0, np.int64)
+            if len(start):
+                g, n, low = g[order][start], np.add.reduceat(n[order], start), np.minimum.reduceat(low[order], start)
+            if len(n) > most:
+                n = n - np.partition(n, len(n) - most - 1)[len(n) - most - 1]
+                g, low, n = g[n > 0], low[n > 0], n[n > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n), pa.array((low >> U(1)).view(np.int64))], ["gram", "n", "low"])
+
+    got = texts.filter(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(count, "gram long, n long, low long").groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
+    rows = got.filter("n > 1").orderBy(F.desc("n"), "gram").limit(most).toPandas()
+    gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], (rows["low"].to_numpy(np.int64).view(np.uint64) << U(1))[order]
+
+
+def regions(texts: DataFrame) -> DataFrame:
+    """(node, regions array<bigint>) of each node of texts(node, text) that may have a partner: the pivots to whose regions it goes."""
+    reducers = partitions(texts)
     buckets = reducers * 4
     own = lambda ids: text.mix(ids.view(np.uint64)) % U(buckets)
+    handle = texts.sparkSession.sparkContext.broadcast(frequent(texts))  # at most FREQUENT rows
 
     def send(batches):
-        grams, spare = blocks.Sender(buckets), blocks.Sender(buckets, kind=1)
+        often, lead_of = handle.value
+        grams, spare, known = blocks.Sender(buckets), blocks.Sender(buckets, kind=1), blocks.Sender(buckets, kind=2)
         for part in text.pieces(batches):
             ids, found = np.asarray(part.column(0)), sets(part.column(1))
             n = np.array([len(x) for x in found])
             some = n > 0
             if some.any():
-                g = np.concatenate(found)
-                # a reducer needs to tell n-grams apart, not to know them: where two look alike their documents only meet once more
-                yield from grams.add(g % U(buckets), ((g // U(buckets)) & U(0xFFFFFFFF)).astype(np.uint32), np.repeat(ids, n), np.zeros(len(g), np.int8))
+                g, doc = np.concatenate(found), np.repeat(ids, n)
                 yield from spare.add(own(ids[some]), ids[some], SPARE * n[some], np.zeros(some.sum(), np.int8))
-        yield from grams.flush()
-        yield from spare.flush()
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, g), len(often) - 1)
+                    hit = often[at] == g
+                    yield from known.add(own(doc[hit]), doc[hit], lead_of[at[hit]].view(np.int64), np.ones(hit.sum(), np.int32))
+                    g, doc = g[~hit], doc[~hit]
+                # a reducer needs to tell n-grams apart, not to know them: where two look alike their nodes only meet once more
+                yield from grams.add(g % U(buckets), ((g // U(buckets)) & U(0xFFFFFFFF)).astype(np.uint32), doc, np.zeros(len(g), np.int8))
+        for sender in (grams, spare, known):
+            yield from sender.flush()
 
     def lead(batches):
-        pairs, kinds = blocks.Sender(buckets), {0: (np.uint32, np.int64, np.int8), 1: (np.int64, np.float64, np.int8)}
+        pairs, kinds = blocks.Sender(buckets), {0: (np.uint32, np.int64, np.int8), 1: (np.int64, np.float64, np.int8), 2: (np.int64, np.int64, np.int32)}
         got = blocks.gather(batches, kinds)
-        for bucket, ids, d, z in got[1]:
-            row = [[bucket], [1], [ids.tobytes()], [d.tobytes()], [z.tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, blocks.ARROW)], schema=blocks.ARROW)
+        for kind, as_kind in ((1, 1), (2, 0)):  # these only pass
+            for bucket, *values in got[kind]:
+                row = [[bucket], [as_kind], *[[v.tobytes()] for v in values]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, blocks.ARROW)], schema=blocks.ARROW)
         out = []
         for b in sorted({r[0] for r in got[0]}):
             _, g, doc, _ = blocks.joined([r for r in got[0] if r[0] == b], kinds[0])
             order = np.argsort(g, kind="stable")
             g, doc = g[order], doc[order]
             start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            low, high = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
+            low, high = np.minimum.reduceat(doc.view(np.uint64), start), np.maximum.reduceat(doc.view(np.uint64), start)
             n = np.diff(np.r_[start, len(g)])
             shared = np.repeat(low != high, n)
-            out.append((doc[shared], np.repeat(low, n)[shared]))
+            out.append((doc[shared], np.repeat(low.view(np.int64), n)[shared]))
         if out:
             doc, pivot = (np.concatenate(x) for x in zip(*out))
             if len(doc):
-                order = np.lexsort((pivot, doc))
-                doc, pivot = doc[order], pivot[order]
-                start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pivot[1:] != pivot[:-1])])
-                doc, pivot, n = doc[start], pivot[start], np.diff(np.r_[start, len(doc)]).astype(np.int32)
+                doc, pivot, n = counted(doc, pivot, np.ones(len(doc), np.int32))
                 yield from pairs.add(own(doc), doc, pivot, n)
                 yield from pairs.flush()
 
@@ -90,16 +134,10 @@ def regions(docs: DataFrame) -> DataFrame:
         got = blocks.gather(batches, kinds)
         _, ids, d, _ = blocks.joined(got[1], kinds[1])
         _, doc, pivot, n = blocks.joined(got[0], kinds[0])
-        order = np.lexsort((pivot, doc))
-        doc, pivot, n = doc[order], pivot[order], n[order]
-        start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pivot[1:] != pivot[:-1])]) if len(doc) else np.zeros(0, np.int64)
-        doc, pivot, n = doc[start], pivot[start], np.add.reduceat(n, start) if len(start) else n
-        # of rows that share a doc_id each may leave out the least allowance
-        order = np.lexsort((d, ids))
-        ids, d = ids[order], d[order]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        ids, d = ids[first], d[first]
-        order = np.lexsort((pivot, n, doc))  # least owners first
+        doc, pivot, n = counted(doc, pivot, n)
+        ids, first = np.unique(ids, return_index=True)
+        d = d[first]
+        order = np.lexsort((pivot.view(np.uint64) * 2.0**-64 * n, doc))  # owners of common n-grams first, and of few
         doc, pivot, n = doc[order], pivot[order], n[order]
         start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
         total = np.cumsum(n)
@@ -108,11 +146,18 @@ def regions(docs: DataFrame) -> DataFrame:
         doc, pivot = doc[keep], pivot[keep]
         start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(doc)].astype(np.int32)), pa.array(pivot))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[start]), lists], ["doc_id", "regions"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[start]), lists], ["node", "regions"])
 
-    sent = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(send, blocks.SCHEMA)
-    led = blocks.exchange(sent, lead, reducers)
-    return blocks.exchange(led, choose, reducers, "doc_id long, regions array<bigint>")
+    led = blocks.exchange(texts.select("node", "text").mapInArrow(send, blocks.SCHEMA), lead, reducers)
+    return blocks.exchange(led, choose, reducers, "node long, regions array<bigint>")
+
+
+def counted(doc: np.ndarray, pivot: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (doc, pivot) once, with the sum of n."""
+    order = np.lexsort((pivot, doc))
+    doc, pivot, n = doc[order], pivot[order], n[order]
+    start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pivot[1:] != pivot[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    return doc[start], pivot[start], np.add.reduceat(n, start).astype(np.int32) if len(start) else n
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
@@ -146,7 +191,7 @@ def distances(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndar
 
 def metric_join(found: list[np.ndarray], own: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, similarity) of all pairs within t, of own with own and of own with others; each pair comes once. own and others are disjoint."""
-    t = 1 - SIMILARITY + 1e-9
+    t = T
     if len(own) + len(others) <= LEAF:
         yield from leaf(found, own, others)
         return
@@ -173,141 +218,194 @@ def leaf(found, own, others):
         a = own[s : s + LEAF]
         sa = [found[i] for i in a]
         d = distances(sa)
-        i, j = np.nonzero(np.triu(d <= 1 - SIMILARITY + 1e-9, 1))
+        i, j = np.nonzero(np.triu(d <= T, 1))
         yield a[i], a[j], 1 - d[i, j]
         rest = np.r_[own[s + LEAF :], others]
         for k in range(0, len(rest), LEAF):
             b = rest[k : k + LEAF]
             d = distances(sa, [found[i] for i in b])
-            i, j = np.nonzero(d <= 1 - SIMILARITY + 1e-9)
+            i, j = np.nonzero(d <= T)
+            yield a[i], b[j], 1 - d[i, j]
+
+
+def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the trees of each i and j in `parent`; roots are the least places."""
+    while True:
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+        a, b = parent[i], parent[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        if not len(i):
+            return
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+
+
+def meet_earlier(lists: list, region: int) -> np.ndarray:
+    """Bits of each node for the lesser regions that two or more of them are in: two nodes with a bit in common have been compared there."""
+    lesser = [np.unique(np.array([r for r in x if r < region], np.int64)) for x in lists]
+    flat = np.concatenate(lesser) if lesser else np.zeros(0, np.int64)
+    where, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lesser])
+    often = n[place] > 1
+    bits = np.zeros((len(lists), int((n > 1).sum())), bool)
+    bits[row[often], column[place[often]]] = True
+    return np.packbits(bits, axis=1)
+
+
+def new_links(found: list, lists: list, region: int, own: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the links of own with own (where there are no others) or with others, for which no lesser region has both."""
+    met = meet_earlier(lists, region)
+    for i, j, _ in metric_join(found, own, others) if not len(others) else across(found, own, others):
+        new = np.ones(len(i), bool)
+        if met.shape[1]:
+            for k in range(0, len(i), 100_000):
+                new[k : k + 100_000] = ~(met[i[k : k + 100_000]] & met[j[k : k + 100_000]]).any(axis=1)
+        yield i, j, new
+
+
+def across(found, own, others):
+    """(i, j, similarity) of the links of own with others, block by block."""
+    for s in range(0, len(own), LEAF):
+        a = own[s : s + LEAF]
+        for k in range(0, len(others), LEAF):
+            b = others[k : k + LEAF]
+            d = distances([found[i] for i in a], [found[i] for i in b])
+            i, j = np.nonzero(d <= T)
             yield a[i], b[j], 1 - d[i, j]
 
 
-def region_pairs(ids: np.ndarray, lists: list, found: list[np.ndarray], region: int):
-    """(doc_a, doc_b, similarity) of the pairs of a region for which it is the least one that both are in. Equal sets are joined once."""
-    by: dict[bytes, int] = {}
-    group = np.array([by.setdefault(s.tobytes(), len(by)) for s in found])
-    order = np.argsort(group, kind="stable")
-    start = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
-    size = np.diff(np.r_[start, len(order)])
-    distinct = [found[order[s]] for s in start]
-    lesser = sorted({r for x in lists for r in x if r < region})
-    member = None
-    if lesser:
-        at = {r: k for k, r in enumerate(lesser)}
-        member = np.zeros((len(ids), len(lesser)), bool)
-        for k, x in enumerate(lists):
-            member[k, [at[r] for r in x if r < region]] = True
-
-    def emit(i, j, s):
-        new = ids[i] != ids[j]
-        if member is not None and len(i):
-            new &= ~np.concatenate([(member[i[k : k + 100_000]] & member[j[k : k + 100_000]]).any(axis=1) for k in range(0, len(i), 100_000)])
-        return np.minimum(ids[i], ids[j])[new], np.maximum(ids[i], ids[j])[new], s[new]
-
-    for k in np.flatnonzero(size > 1):
-        own = order[start[k] : start[k] + size[k]]
-        for a in range(len(own) - 1):
-            yield emit(np.full(len(own) - a - 1, own[a]), own[a + 1 :], np.ones(len(own) - a - 1))
-    if len(distinct) > 1:
-        for i, j, s in metric_join(distinct, np.arange(len(distinct)), np.zeros(0, np.int64)):
-            ni, nj = size[i], size[j]
-            n = ni * nj
-            if not len(n):
-                continue
-            if n.max() == 1:
-                yield emit(order[start[i]], order[start[j]], s)
-                continue
-            for lo in range(0, len(i), 2000):
-                q = slice(lo, lo + 2000)
-                k = np.arange(n[q].sum()) - np.repeat(np.r_[0, np.cumsum(n[q])[:-1]], n[q])
-                w = np.repeat(nj[q], n[q])
-                yield emit(order[np.repeat(start[i[q]], n[q]) + k // w], order[np.repeat(start[j[q]], n[q]) + k % w], np.repeat(s[q], n[q]))
-
-
-def region_forest(ids: np.ndarray, lists: list, found: list[np.ndarray], region: int):
-    """(doc_a, doc_b, similarity): edges from each document to the least one of its group within the region, with 1 for the similarity."""
-    root = list(range(len(ids)))
-
-    def top(x):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    by: dict[bytes, int] = {}
-    first = [by.setdefault(s.tobytes(), k) for k, s in enumerate(found)]
-    for k, f in enumerate(first):
-        root[k] = f
-    distinct = sorted(set(first))
-    if len(distinct) > 1:
-        for i, j, _ in metric_join([found[k] for k in distinct], np.arange(len(distinct)), np.zeros(0, np.int64)):
-            for a, b in zip(i.tolist(), j.tolist()):
-                a, b = top(distinct[a]), top(distinct[b])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-    tops = np.array([top(k) for k in range(len(ids))])
-    least: dict[int, int] = {}
-    for t, d in zip(tops.tolist(), ids.tolist()):
-        least[t] = min(d, least.get(t, d))
-    low = np.array([least[t] for t in tops.tolist()])
-    new = low != ids
-    yield low[new], ids[new], np.ones(new.sum())
-
-
-def join_regions(docs: DataFrame, inside) -> DataFrame:
-    """(doc_a, doc_b, jaccard): inside() of every region's documents. A region streams through its task; texts travel, as they pack better than their sets."""
-    rows = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").join(regions(docs), "doc_id")
-    rows = rows.select(F.explode("regions").alias("region"), "doc_id", "regions", "text").repartition(partitions(docs), "region").sortWithinPartitions("region")
-    schema = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+def join_cells(rows: DataFrame) -> DataFrame:
+    """(node, n, root) for each node of rows(region, cell, block, guest, node, regions, text) that has links in a cell: their number, those that a lesser region
+    has too left out, and a node that it is connected with. A task holds a cell's own nodes, at most CELL by expectation; guests pass by."""
+    names = [("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())]
 
     def run(batches):
-        ids: list = []
-        lists: list = []
-        found: list = []
-        at, held, n = None, [], 0
+        key, ids, lists, found, links, parent, guests = None, [], [], [], None, None, []
 
-        def finish():
-            nonlocal held, n
+        def pack(i, n, root):
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip((i, n, root), names)], [c for c, _ in names])
+
+        def close():
+            """Links among the cell's own nodes, once they are all there."""
+            nonlocal links, parent
+            links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
             if len(ids) > 1:
-                for a, b, s in inside(np.array(ids, np.int64), lists, found, at):
-                    held.append((a, b, s.astype(float).round(6)))
-                    n += len(a)
-                    if n > 200_000:
-                        yield pack()
-            ids.clear(), lists.clear(), found.clear()
-
-        def pack():
-            nonlocal held, n
-            a, b, s = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-            held, n = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], schema=schema)
+                for i, j, new in new_links(found, lists, key[0], np.arange(len(ids)), np.zeros(0, np.int64)):
+                    np.add.at(links, np.r_[i[new], j[new]], 1)
+                    unite(parent, i, j)
+
+        def pass_by():
+            nonlocal parent, guests
+            m, k = len(ids), len(guests)
+            own, n = np.arange(m), np.zeros(m + k, np.int64)
+            parent = np.r_[parent, m + np.arange(k)]
+            if m:
+                for i, j, new in new_links(found + [g[2] for g in guests], lists + [g[1] for g in guests], key[0], own, m + np.arange(k)):
+                    np.add.at(n, np.r_[i[new], j[new]], 1)
+                    unite(parent, i, j)
+            links[:] += n[:m]
+            unite(parent, np.arange(m + k), np.arange(m + k))
+            some = m + np.flatnonzero(parent[m:] != m + np.arange(k))
+            everyone = np.array(ids + [g[0] for g in guests], np.int64)
+            out = pack(everyone[some], n[some], everyone[parent[some]])
+            parent, guests = parent[:m], []
+            return out
 
+        def finish():
+            if key is None:
+                return
+            if links is None:
+                close()
+            if guests:
+                yield pass_by()
+            unite(parent, np.arange(len(ids)), np.arange(len(ids)))
+            everyone = np.array(ids, np.int64)
+            some = (links > 0) | (parent != np.arange(len(ids)))
+            yield pack(everyone[some], links[some], everyone[parent[some]])
+
+        last = None
         for part in text.pieces(batches, 4 << 20):
-            for region, doc, own, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), sets(part.column(3))):
-                if region != at:
+            columns = [part.column(i).to_pylist() for i in range(6)]
+            for *at, guest, node, own, s in zip(*columns, sets(part.column(6))):
+                if tuple(at) != key:
                     yield from finish()
-                    at = region
-                if len(s):
-                    ids.append(doc), lists.append(own), found.append(s)
+                    key, ids, lists, found, links, parent, guests, last = tuple(at), [], [], [], None, None, [], None
+                if not len(s) or node == last:  # a row that came twice
+                    continue
+                last = node
+                if not guest:
+                    ids.append(node), lists.append(own), found.append(s)
+                    continue
+                if links is None:
+                    close()
+                guests.append((node, own, s))
+                if len(guests) >= LEAF:
+                    yield pass_by()
         yield from finish()
-        yield pack()
-
-    return rows.mapInArrow(run, "doc_a long, doc_b long, jaccard double")
 
+    sent = rows.select(*KEY, "guest", "node", "regions", "text").repartition(partitions(rows), *KEY).sortWithinPartitions(*KEY, "guest", "node")
+    return sent.mapInArrow(run, "node long, n long, root long")
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b, of every two documents whose sets have a similarity of SIMILARITY or more.
 
-    Words are runs of letters and digits in lower case; a text of one or two words has one n-gram, itself. Null texts and ids, and texts without words,
-    have no partner. Rows that share a doc_id are one document: no pair of its own, and of several similarities the greatest. Extra columns
-    are ignored. Every document is a query; no partner is left out."""
-    found = join_regions(docs, region_pairs)
-    return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")) if repeated(docs) else found
+def parted(rows: DataFrame, with_text, cell: int = CELL) -> DataFrame:
+    """(region, cell, block, guest, node) of rows(region, node, size), the nodes of regions of more than `cell` nodes. with_text joins a text to each row."""
+    share = F.ceil(F.col("size") / F.lit(cell)).cast("int")
+    drawn = F.pmod(F.xxhash64("node", "region"), F.greatest(F.floor(F.col("size") / PIVOTS), F.lit(1))) == 0
+    tagged = rows.withColumn("pivot", drawn).withColumn("salt", F.pmod(F.hash("node"), share))
+    spread = tagged.withColumn("pivot", F.lit(False)).unionByName(tagged.filter("pivot").withColumn("salt", F.explode(F.sequence(F.lit(0), share - 1))))
 
-
-def repeated(docs: DataFrame) -> bool:
-    n = docs.select("doc_id").na.drop().agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return n["n"] != n["d"]
+    def measure(batches):
+        key, pivots, sets_of = None, [], []
+        for part in text.pieces(batches, 4 << 20):
+            out: list = []
+            held: list = []
+
+            def flush(out=out, held=held):
+                if held:
+                    d = np.concatenate([distances([x[1] for x in held[k : k + LEAF]], sets_of) for k in range(0, len(held), LEAF)]) if pivots else np.ones((len(held), 1))
+                    names = pivots or [0]
+                    out += [(key[0], x[0], names[int(q.argmin())], float(q.min()), names, q.tolist()) for x, q in zip(held, d)]
+                    held.clear()
+
+            for region, salt, pivot, node, s in zip(*(part.column(i).to_pylist() for i in range(4)), sets(part.column(4))):
+                if (region, salt) != key:
+                    flush()
+                    key, pivots, sets_of = (region, salt), [], []
+                if pivot and len(s) and node not in pivots:
+                    pivots.append(node), sets_of.append(s)
+                elif not pivot and len(s):
+                    held.append((node, s))
+            flush()
+            types = [("region", pa.int64()), ("node", pa.int64()), ("home", pa.int64()), ("d", pa.float64()), ("pivots", pa.list_(pa.int64())), ("ds", pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(types)], [c for c, _ in types])
+
+    sent = with_text(spread).select("region", "salt", "pivot", "node", "text").repartition(partitions(rows), "region", "salt").sortWithinPartitions("region", "salt", F.desc("pivot"), "node")
+    far = cut(sent.mapInArrow(measure, "region long, node long, home long, d double, pivots array<bigint>, ds array<double>").dropDuplicates(["region", "node"]))
+    cells = far.groupBy("region", F.col("home").alias("cell")).agg(F.max("d").alias("radius"), F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("blocks"))
+    own = far.select("region", F.col("home").alias("cell"), "node").join(cells, ["region", "cell"]).withColumn("own", F.pmod(F.hash("node", F.lit(1)), "blocks"))
+    own = own.withColumn("block", F.explode(F.sequence(F.lit(0), "own"))).select(*KEY, (F.col("block") < F.col("own")).alias("guest"), "node")
+    each = far.select("region", "node", "home", F.col("d").alias("least"), F.explode(F.arrays_zip("pivots", "ds")).alias("x")).select("region", "node", "home", "least", F.col("x.pivots").alias("cell"), F.col("x.ds").alias("away"))
+    guests = each.filter("home > cell").join(cells, ["region", "cell"]).filter(F.col("away") <= F.least(F.col("least") + 2 * T, F.col("radius") + T) + 1e-6)
+    guests = guests.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*KEY, F.lit(True).alias("guest"), "node")
+    return own.unionByName(guests)
+
+
+def linked(docs: DataFrame, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, node) of every row with a doc_id and a text; (node, doc_id) of each node and the least document that has it; and join_cells()."""
+    member = cut(nodes(docs).select("doc_id", "node"))
+    first = member.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    # texts travel once, to the place of their node and doc_id: all copies of a text aren't in one place
+    placed = nodes(docs).filter("node IS NOT NULL").repartition(partitions(docs), "node", "doc_id")
+    with_text = lambda rows: rows.join(placed, ["node", "doc_id"])
+    near = cut(regions(with_text(first)))
+    apart = near.select("node", F.explode("regions").alias("region"))
+    hot = apart.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > cell)
+    rows = apart.select("region", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("block"), F.lit(False).alias("guest"), "node")
+    if not hot.isEmpty():
+        rows = rows.join(hot, "region", "left_anti").unionByName(parted(apart.join(hot, "region"), lambda r: with_text(r.join(first, "node")), cell))
+    return member, first, cut(join_cells(with_text(rows.join(near, "node").join(first, "node"))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -327,26 +425,52 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id"))
 
 
+def groups(docs: DataFrame, cell: int = CELL) -> DataFrame:
+    """(doc_id, class_id, n_links), one row for each doc_id. Documents that are linked, by way of others too, or that have the same words, are a class; class_id is its
+    least doc_id. n_links is the number of different texts, by their words, that the document's own is linked with; copies count once.
+
+    Words are runs of letters and digits in lower case; a text of one or two words has one n-gram, itself. A document with a null text, or one without words, is a class
+    of its own; rows without doc_id have no row. Rows that share a doc_id are one document: in one class, with the greatest n_links of any. Extra columns
+    are ignored. Every document is a query; no link is left out."""
+    member, first, joined = linked(docs, cell)
+    links = joined.groupBy("node").agg(F.sum("n").alias("n_links"))
+    some = member.filter("node IS NOT NULL").distinct()
+    least = some.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").drop("most")
+    edges = joined.select(F.col("node").alias("doc_a"), F.col("root").alias("doc_b")).unionByName(some.join(least, "doc_id").select(F.col("node").alias("doc_a"), F.col("least").alias("doc_b")))
+    top = first.join(components(edges).select(F.col("doc_id").alias("node"), "group_id"), "node", "left").withColumn("top", F.coalesce("group_id", "node"))
+    known = top.join(top.groupBy("top").agg(F.min("doc_id").alias("class_id")), "top").join(links, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = member.filter("node IS NOT NULL").join(known, "node").select("doc_id", "class_id", "n_links")
+    alone = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NULL").select("doc_id").unionByName(member.filter("node IS NULL").select("doc_id"))
+    out = out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those whose group of near copies (linked by pairs) has a lesser doc_id, with all their columns, extra ones of any
+    """The rows of docs without those whose class (see groups()) has a lesser doc_id, with all their columns, extra ones of any
     name included. Rows without doc_id, text or words stay, and so do rows that share the doc_id that stays."""
     name = free(docs, "copy")
-    gone = components(join_regions(docs, region_forest)).select(F.col("doc_id").alias(name))
+    gone = groups(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias(name))
     return docs.join(gone, F.col("`doc_id`") == F.col(name), "left_anti")
 
 
 def op5_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_near_pairs": op5_near_pairs}
 SQL = {
     "op5_near_pairs": f"""
-    WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')), ' ') AS ws FROM documents),
-    g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) < {WORDS} THEN [array_to_string(ws, ' ')]
-            ELSE list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' ')) END) AS gs FROM w WHERE ws <> ['']),
-    t AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS x FROM g),
-    o AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS c
-          FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
-    SELECT doc_a, doc_b, round(c / (na + nb - c), 6) AS jaccard FROM o WHERE c >= {SIMILARITY} * (na + nb - c)"""
+    WITH RECURSIVE w AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS words FROM documents),
+    c AS (SELECT doc_id, words, min(doc_id) OVER (PARTITION BY words) AS rep FROM w WHERE words <> ''),
+    s AS (SELECT rep, string_split(words, ' ') AS ws FROM c WHERE doc_id = rep),
+    g AS (SELECT rep, list_distinct(CASE WHEN len(ws) < {WORDS} THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' ')) END) AS gs FROM s),
+    t AS (SELECT rep, len(gs) AS n, unnest(gs) AS x FROM g),
+    o AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.rep <> b.rep GROUP BY ALL),
+    e AS MATERIALIZED (SELECT a, b FROM o WHERE k >= {SIMILARITY} * (na + nb - k)),
+    r AS (SELECT rep AS a, rep AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    k AS (SELECT a, min(b) AS top FROM r GROUP BY a),
+    d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+    SELECT w.doc_id, coalesce(k.top, w.doc_id) AS class_id, coalesce(d.n, 0) AS n_links
+    FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN k ON k.a = c.rep LEFT JOIN d ON d.a = c.rep"""
 }

@@ -69,18 +69,49 @@ def jaccard(a, b):
     return len(s[0] & s[1]) / len(s[0] | s[1])
 
 
-def test_near_pairs_against_brute_force(spark, empty):
+def plain_groups(rows):
+    """(doc_id, class_id, n_links) by comparing all pairs of different texts."""
+    words = {d: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split()) for d, t in rows}
+    rep = {}
+    for d in sorted(words):
+        if words[d]:
+            rep.setdefault(words[d], d)
+    reps = sorted(rep.values())
+    near = {d: {e for e in reps if e != d and jaccard(words[d], words[e]) >= near_dedup.SIMILARITY} for d in reps}
+    top = {d: d for d in reps}
+    for _ in reps:
+        top = {d: min([top[d], *(top[e] for e in near[d])]) for d in reps}
+    return sorted((d, top[rep[w]], len(near[rep[w]])) if w else (d, d, 0) for d, w in words.items())
+
+
+def near_rows():
     rows, r = [], random.Random(3)
     for k in range(40):
         words = prose(r.randint(5, 120), 100 + k).split()
         rows.append((len(rows), " ".join(words)))
-        for share in (0.02, 0.05, 0.1, 0.15):
-            copy = [w if r.random() > share else r.choice(VOCAB) for w in words]
+        for share in (0.0, 0.02, 0.05, 0.1, 0.15):
+            copy = [w if r.random() >= share else r.choice(VOCAB) for w in words]
             rows.append((len(rows), " ".join(copy)))
-    got = {(x.doc_a, x.doc_b): x.jaccard for x in near_dedup.pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    want = {(i, j): s for i, a in rows for j, b in rows if i < j and (s := jaccard(a, b)) >= near_dedup.SIMILARITY}
-    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
-    assert near_dedup.pairs(empty).count() == 0
+    crowd = prose(60, 190).split()  # a crowd: one region must be parted
+    for k in range(90):
+        rows.append((len(rows), " ".join(w if r.random() > 0.08 else r.choice(VOCAB) for w in crowd)))
+    return rows
+
+
+@pytest.mark.parametrize("cell", [near_dedup.CELL, 12])
+def test_near_groups_against_brute_force(spark, empty, cell):
+    rows = near_rows()
+    got = sorted(tuple(x) for x in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), cell).collect())
+    assert got == plain_groups(rows) and max(x[2] for x in got) > 20
+    assert near_dedup.groups(empty, cell).count() == 0
+
+
+def test_frequent_ngrams_change_nothing(spark, monkeypatch):
+    rows = near_rows()
+    monkeypatch.setattr(near_dedup, "SAMPLE", 1)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(near_dedup.frequent(near_dedup.nodes(d).select("node", "text"))[0]) > 100
+    assert sorted(tuple(x) for x in near_dedup.groups(d).collect()) == plain_groups(rows)
 
 
 def test_cells_are_exact(monkeypatch):
@@ -95,7 +126,10 @@ def test_cells_are_exact(monkeypatch):
 
 
 def test_near_hard_rows(docs, empty):
-    assert [(x.doc_a, x.doc_b) for x in near_dedup.pairs(docs).orderBy("doc_a", "doc_b").collect()] == [(1, 2), (1, 3), (2, 3), (9, 10)]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in near_dedup.groups(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 10: (9, 0)} | {d: (d, 0) for d in (4, 5, 6, 7, 8, 9, 11, 12, 13)} and near_dedup.groups(docs).count() == len(got)
+    twice = docs.sparkSession.createDataFrame([(1, prose(30, 880)), (2, prose(30, 881)), (3, prose(30, 880)), (3, prose(30, 881))], "doc_id long, text string")
+    assert sorted(tuple(x) for x in near_dedup.groups(twice).collect()) == [(1, 1, 0), (2, 1, 0), (3, 1, 0)]
     kept = near_dedup.keep_one(docs)
     assert ids(kept) == sorted([-1, -1, 1, 4, 5, 6, 7, 8, 9, 11, 12, 12, 13]) and kept.columns == docs.columns
     assert near_dedup.keep_one(empty).count() == 0
