@@ -15,25 +15,26 @@ from lumenpair.llm._spark import partitions, table
 
 #: At most so many labelled documents of each class fit the models, those of least doc_id hash; every fourth is held out for the threshold.
 MAX_FIT_DOCS = 3000
-#: Words in fewer documents of the sample (or a twentieth of it, if that is less), and pairs in fewer, are left to the backoff: their counts are chance.
-MIN_WORD_DOCS, MIN_PAIR_DOCS = 40, 20
+#: Class counts move from what both classes share to their own by max(0, 1 - EVIDENCE / z^2), z being how many deviations they are apart: for words, and for pairs, of
+#: which there are many more. So an expression counts for a class as far as it is known to, however rare it is; none is left out.
+EVIDENCE, PAIR_EVIDENCE = 6.5, 25.0
+#: Of a word's class counts this share backs off.
+BACKOFF = 0.7
 #: A false alarm weighs as much as so many toxic documents missed, when the threshold is chosen.
 FALSE_ALARM = 10
 
 
 @dataclass
 class Model:
-    """vocab: sorted word hashes; word k has id k+1, any other word, or the start of a text, id 0. keys: sorted pairs, left id * size + right id; counts: of
-    documents, by class (0 ordinary, 1 toxic); seen, rest: of each left word, the count of all its pairs, and what of that backs off; single: probability of each word
-    in a class by its different left neighbours there, without what backs off, and `spare`, that rest; shared: probability of each word by its
-    different left neighbours in all documents."""
+    """vocab: sorted word hashes; word k has id k+1, any other word, or the start of a text, id 0. keys: sorted pairs, left id * size + right id; kept: what of their
+    counts, in documents, each class (0 ordinary, 1 toxic) keeps; seen, rest: of each left word, the count of all its pairs, and what of that backs off; single: probability
+    of each word in a class, without what backs off, and `spare`, that rest; shared: probability of each word by its different left neighbours in all documents."""
 
     vocab: np.ndarray
     keys: np.ndarray
-    counts: np.ndarray
+    kept: np.ndarray
     seen: np.ndarray
     rest: np.ndarray
-    discount: float
     single: np.ndarray
     spare: np.ndarray
     shared: np.ndarray | None = None
@@ -67,51 +68,57 @@ class Model:
             hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
             for c in (0, 1):
                 total = self.seen[c][left]
-                count = np.where(hit, self.counts[c][at], 0) if len(self.keys) else np.zeros(len(key))
+                own = np.where(hit, self.kept[c][at], 0) if len(self.keys) else np.zeros(len(key))
                 lower = (self.single[c] + self.spare[c] * self.shared)[ids]
-                p = np.where(total > 0, (np.maximum(count - self.discount, 0) + self.rest[c][left] * lower) / np.maximum(total, 1), lower)
+                p = np.where(total > 0, (own + self.rest[c][left] * lower) / np.where(total > 0, total, 1), lower)
                 means[c][n > 0] = np.add.reduceat(np.log(p), off[:-1][n > 0]) / n[n > 0]
         return n, means[1], means[0]
 
 
+def weighed(counts: np.ndarray, evidence: float) -> np.ndarray:
+    """Counts of both classes, moved towards what each would have if the classes were alike, as far as their difference may be chance."""
+    total = counts.sum(axis=0)
+    share = (counts.sum(axis=1) / max(1.0, counts.sum()))[:, None]
+    alike = total * share
+    z2 = (counts - alike) ** 2 / np.maximum(total * share * (1 - share), 1e-9)
+    return alike + (counts - alike) * np.maximum(0, 1 - evidence / np.maximum(z2, 1e-9))
+
+
+def by_document(what: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """Documents of each class that hold each of what."""
+    once = np.unique(doc * size + what)
+    return np.array([np.bincount(once[y[once // size] == c] % size, minlength=size) for c in (0, 1)], float)
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    """Pair counts of both classes. Texts or a class may be missing: then every pair is left to the backoff. A text counts once, however often it comes."""
+    """Pair and word counts of both classes. Texts or a class may be missing: then every pair is left to the backoff. A text counts once, however often it comes."""
     first = {}
     for t, y in zip(texts, toxic):
         first.setdefault((t or "", int(y)), None)
-    kept = list(first)
-    distinct, index, off = text.words(pa.array([t for t, _ in kept], pa.large_string()))
+    known = list(first)
+    distinct, index, off = text.words(pa.array([t for t, _ in known], pa.large_string()))
     h = text.word_hashes(distinct)
-    doc = np.repeat(np.arange(len(kept)), np.diff(off))
-    once = np.unique(doc * max(1, len(h)) + index) % max(1, len(h))
-    least = min(MIN_WORD_DOCS, max(3, len(kept) // 20))
-    vocab = np.sort(h[np.bincount(once, minlength=len(h)) >= least]) if len(h) else h
+    vocab = np.unique(h)
     size = len(vocab) + 1
-    model = Model(vocab, np.zeros(0, np.int64), np.zeros((2, 0)), np.zeros((2, size)), np.zeros((2, size)), 0.5, np.zeros((2, size)), np.ones(2))
+    model = Model(vocab, np.zeros(0, np.int64), np.zeros((2, 0)), np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, size)), np.ones(2))
     if not len(index):
         return model
-    at = np.minimum(np.searchsorted(vocab, h), max(0, len(vocab) - 1))
-    ids = np.where(vocab[at] == h, at + 1, 0)[index] if len(vocab) else np.zeros(len(index), np.int64)
-    _, key = model.pairs(ids, off)
-    order = np.lexsort((key, doc))
-    fresh = np.r_[True, (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1])]
-    key, doc = key[order][fresh], doc[order][fresh]
-    y = np.array([c for _, c in kept])[doc]
-    keys, place = np.unique(key, return_inverse=True)
-    counts = np.array([np.bincount(place[y == c], minlength=len(keys)) for c in (0, 1)])
-    model.discount = discount(counts)
-    near = np.array([np.bincount(keys % size, counts[c] > 0, size) for c in (0, 1)])  # different left neighbours in a class
-    lower = discount(near)
+    ids = (np.searchsorted(vocab, h) + 1)[index]
+    doc, y = np.repeat(np.arange(len(known)), np.diff(off)), np.array([c for _, c in known])
+    words = by_document(ids, doc, y, size)
+    total, own = words.sum(axis=0), weighed(words, EVIDENCE)
     for c in (0, 1):
-        if near[c].sum():
-            model.single[c] = np.maximum(near[c] - lower, 0) / near[c].sum()
+        if own[c].sum():
+            model.single[c] = own[c] * (1 - BACKOFF / np.maximum(total, 1)) / own[c].sum()
             model.spare[c] = 1 - model.single[c].sum()
-    kept = np.where(counts.sum(axis=0) < MIN_PAIR_DOCS, 0, counts)  # in both classes or in none
+    model.keys, place = np.unique(model.pairs(ids, off)[1], return_inverse=True)
+    pairs = by_document(place, doc, y, len(model.keys))
+    total, own = pairs.sum(axis=0), weighed(pairs, PAIR_EVIDENCE)
+    less = discount(total) * own / np.maximum(total, 1)
+    model.kept = (own - less).astype(np.float32)
     for c in (0, 1):
-        model.seen[c] = np.bincount(keys // size, counts[c], size)
-        model.rest[c] = model.seen[c] - np.bincount(keys // size, np.maximum(kept[c] - model.discount, 0), size)
-    some = kept.any(axis=0)
-    model.keys, model.counts = keys[some], kept[:, some].astype(float)
+        model.seen[c] = np.bincount(model.keys // size, own[c], size)
+        model.rest[c] = model.seen[c] - np.bincount(model.keys // size, model.kept[c], size)
     return model
 
 
@@ -122,7 +129,7 @@ def discount(counts: np.ndarray) -> float:
 
 def continuations(docs: DataFrame, vocab_model: Model) -> np.ndarray:
     """For each word id the number of its different left neighbours over all documents. Tasks send the pairs that they met, each once, as
-    differences of sorted keys; what is gathered is bounded by the pairs of the vocabulary, what comes back is one number for each of its words."""
+    differences of sorted keys. Words outside the sample's vocabulary are one word here. What comes back is one number for each word."""
     reducers, size = partitions(docs), len(vocab_model.vocab) + 1
     handle = docs.sparkSession.sparkContext.broadcast(vocab_model)
 

@@ -365,3 +365,76 @@ def test_ngram_of_short_texts():
 
     gram, off, _ = text.ngrams(*text.hashed(pa.array(["a b", "a b c", None, "", "a b"])), 3)
     assert off.tolist() == [0, 1, 2, 2, 2, 3] and gram[0] == gram[2] != gram[1]
+
+
+def plain_kneser_ney(train, left_types, words):
+    """(toxic, ordinary) mean log-likelihood of words, from dictionaries. train: {text: class}, each text once."""
+    import math
+
+    docs = [(t.split(), c) for t, c in train.items()]
+    bigrams = lambda w: list(zip(["<s>", *w[:-1]], w))
+
+    def table(items, evidence):
+        n = {}
+        for w, c in docs:
+            for x in set(items(w)):
+                n.setdefault(x, [0, 0])[c] += 1
+        share = [sum(v[c] for v in n.values()) for c in (0, 1)]
+        share = [x / sum(share) for x in share]
+        own = {}
+        for x, v in n.items():
+            t = sum(v)
+            z2 = (v[1] - t * share[1]) ** 2 / (t * share[0] * share[1])
+            keep = max(0, 1 - evidence / z2) if z2 else 0
+            own[x] = [t * share[c] + (v[c] - t * share[c]) * keep for c in (0, 1)]
+        return n, own
+
+    n1, own1 = table(list, toxicity.EVIDENCE)
+    n2, own2 = table(bigrams, toxicity.PAIR_EVIDENCE)
+    ones, twos = (sum(sum(v) == k for v in n2.values()) for k in (1, 2))
+    d = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+    known = {w for t in train for w in t.split()}
+    every = sum(left_types.values()) + 0.5 * (len(known) + 1)
+    out = []
+    for c in (1, 0):
+        mass = sum(v[c] for v in own1.values())
+        single = {w: own1[w][c] * (1 - toxicity.BACKOFF / sum(n1[w])) / mass for w in own1}
+        spare = 1 - sum(single.values())
+        logs = []
+        for a, b in bigrams([w if w in known else "<s>" for w in words]):
+            lower = single.get(b, 0) + spare * (left_types.get(b, 0) + 0.5) / every
+            after = {x: v[c] for x, v in own2.items() if x[0] == a}
+            total = sum(after.values())
+            kept = {x: v * (1 - d / sum(n2[x])) for x, v in after.items()}
+            logs.append(math.log((kept.get((a, b), 0) + (total - sum(kept.values())) * lower) / total if total else lower))
+        out.append(sum(logs) / len(logs))
+    return out
+
+
+def test_toxicity_against_plain_counts(spark):
+    r, pool = random.Random(77), [f"w{k}" for k in range(30)]
+    line = lambda bad: " ".join(r.choice(pool + ["idiot"] * (12 * bad)) for _ in range(r.randint(1, 12)))
+    train = {line(k % 2): k % 2 for k in range(160)}
+    model = toxicity.fit(list(train), [*train.values()])
+    rows = [(k, line(k % 2)) for k in range(40)] + [(99, "new words idiot new")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    left = toxicity.continuations(d, model)
+    known, types = {w for t in train for w in t.split()}, {}
+    for _, t in rows:
+        w = [x if x in known else "<s>" for x in t.split()]
+        for pair in set(zip(["<s>", *w[:-1]], w)):
+            types.setdefault(pair[1], set()).add(pair[0])
+    types = {w: len(x) for w, x in types.items()}
+    assert left.sum() == sum(types.values())
+    model.shared = (left + 0.5) / (left.sum() + 0.5 * len(left))
+    text = dict(rows)
+    for x in toxicity.score(d, model).collect():
+        assert (x.toxic_ll, x.ordinary_ll) == pytest.approx(plain_kneser_ney(train, types, text[x.doc_id].split()), abs=1e-5)
+
+
+def test_toxicity_of_odd_labels(spark, empty):
+    rows = [(k, prose(30, k)) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for labels in ([], [(1, 1), (2, 1)], [(1, 0)], [(1, 0), (1, 1), (1, None), (None, 1), (500, 0)]):
+        m = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert toxicity.score(d, m).count() == 40
