@@ -7,19 +7,24 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenpair.functions import vocabulary as V
+
 MONTHS = "january february march april may june july august september october november december".split()
-UNITS = {"tab": "tablet tablets tab tabs", "cap": "capsule capsules cap caps", "ml": "ml milliliter milliliters", "g": "g gram grams gm", "mcg": "mcg microgram micrograms", "gtt": "gtt gtts drop drops"}
+#: All that counts as white space at the ends of a text, not only the space.
+WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 TITLES, SUFFIXES = ("dr", "mr", "mrs", "ms", "prof"), ("jr", "sr", "ii", "iii", "iv", "v")
-#: Given names that stand for each other; the first of a group is its canonical form, and a name may be in several.
-NICKNAMES = ("william bill will billy", "robert bob rob bobby", "elizabeth liz beth eliza", "james jim jimmy", "margaret peggy meg maggie", "katherine kate kathy katie", "richard rick dick rich", "john jack johnny", "christopher chris", "christina chris tina")
 
 
 def literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def trimmed(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE))
+
+
 def blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit("")) == ""
+    return F.coalesce(trimmed(c), F.lit("")) == ""
 
 
 def group(c: Column, pattern: str, k: int) -> Column:
@@ -30,7 +35,7 @@ def group(c: Column, pattern: str, k: int) -> Column:
 def parse_date(c: Column, past_only: bool = False, this_year: int = 2026) -> Column:
     """yyyy-MM-dd of an ISO, numeric (M/D/YY, M/D/YYYY) or written (Jul 2, 2026) date; null for anything else. Two-digit years up to 49 are 20xx; with
     past_only those after this_year are a century earlier."""
-    s = F.trim(c)
+    s = trimmed(c)
     iso, slash, word = r"^\d{4}-\d{1,2}-\d{1,2}$", r"^(\d{1,2})/(\d{1,2})/(%s)$", r"^([A-Za-z]+)\.?\s+(\d{1,2}),?\s+(\d{4})$"
     names = {x: str(k + 1) for k, m in enumerate(MONTHS) for x in (m, m[:3])} | {"sept": "9"}
     month = F.try_element_at(literal_map(names), F.lower(F.regexp_extract(s, word, 1)))
@@ -46,9 +51,13 @@ def parse_date(c: Column, past_only: bool = False, this_year: int = 2026) -> Col
 
 
 def number(c: Column) -> Column:
-    """A finite decimal number; blank text is zero, as its comparators take it; null for other text."""
-    s = F.trim(c)
-    return F.when(s == "", F.lit(0.0)).when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$"), s.cast("double"))
+    """A finite number in decimal, with any exponent, or in hexadecimal, octal or binary; blank text is zero, as its comparators take it; null for other text."""
+    s = trimmed(c)
+    based = lambda mark, digits, base: (s.rlike(f"^0[{mark}][{digits}]+$"), F.conv(F.substring(s, 3, 99), base, 10).cast("double"))
+    out = F.when(s == "", F.lit(0.0)).when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
+    for of in (based("xX", "0-9a-fA-F", 16), based("oO", "0-7", 8), based("bB", "01", 2)):
+        out = out.when(*of)
+    return F.when(F.abs(out) < float("inf"), out)
 
 
 def wholeish(x: Column) -> Column:
@@ -57,9 +66,8 @@ def wholeish(x: Column) -> Column:
 
 def unit(c: Column) -> Column:
     """A unit under its common alias; null where none is said, or only that it is each or unspecified."""
-    folded = F.trim(F.lower(c))
-    known = literal_map({a: k for k, v in UNITS.items() for a in v.split()})
-    return F.when(~folded.isin("", "ea", "each", "unspecified"), F.coalesce(F.try_element_at(known, folded), folded))
+    folded = trimmed(F.lower(c))
+    return F.when(~folded.isin("", "ea", "each", "unspecified"), F.coalesce(F.try_element_at(literal_map(V.QUANTITY_UNITS), folded), folded))
 
 
 def currency(c: Column) -> Column:
@@ -89,12 +97,6 @@ def ndc11(c: Column) -> Column:
     return F.when(total.isin(10, 11), F.concat(pad(a, 5), pad(b, 4), pad(d, 2))).when(s.rlike(r"^\d{11}$"), s)
 
 
-def stated_strength(c: Column) -> Column:
-    """The first number with a unit of strength, without spaces, in lower case."""
-    p = r"(?i)(\d+(?:\.\d+)?)\s*(mg|mcg|ml|g|meq|units?|%)"
-    return F.when(c.rlike(p), F.lower(F.concat(F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 2))))
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -103,7 +105,7 @@ def let(value: Column, body) -> Column:
 def parse_name(c: Column) -> Column:
     """struct(first, last, middle array, suffix) of `Last, First Middle` or `First Last`; hyphens separate as spaces do. Leading titles and trailing
     generational suffixes go, as long as a word stays; of several suffixes the innermost counts."""
-    folded = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[.'’]", ""), r"\s+", " "))
+    folded = F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[.'’]", ""), r"(?U)\s+", " "))
     tail = rf"(?: (?:{'|'.join(SUFFIXES)}))+"
     untitled = lambda x: F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), rf"^(?:(?:{'|'.join(TITLES)}) )+(?=\S)", "")
     body = lambda x: F.regexp_replace(x, rf"^(\S.*?){tail}$", "$1")
@@ -126,9 +128,10 @@ def parse_name(c: Column) -> Column:
 def canonicals(first: Column) -> Column:
     """All canonical forms of a given name; an unknown one stands for itself."""
     by: dict[str, list[str]] = {}
-    for g in NICKNAMES:
-        for name in g.split():
-            by.setdefault(name, []).append(g.split()[0])
+    for g in "".join(V.NICKNAMES).split(";"):
+        canonical, _, variants = g.strip().partition(":")
+        for name in (canonical, *variants.split()):
+            by.setdefault(name, []).append(canonical)
     table = F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     return F.coalesce(F.try_element_at(table, first), F.array(first))
 

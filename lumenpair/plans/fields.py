@@ -6,17 +6,25 @@ from pyspark.sql import functions as F
 
 from lumenpair.functions import scalars as S
 from lumenpair.operators import fields, verdicts
-from lumenpair.plans.tables import CODES, CONTACTS, LINE_QUANTITIES, NAMES, ORDER_DATES, derived, select
+from lumenpair.plans.tables import BIRTH_DATES, CODES, CONTACTS, LINE_QUANTITIES, NAMES, ORDER_DATES, derived, select
 
-SPLIT = lambda v: (v["status"].alias("status"), v["reason_code"].alias("reason_code"))
+
+def judged(spark, d, table, exprs, keys, comparison):
+    """keys and the verdict of one comparison over a derived table."""
+    out = fields.compared(derived(spark, d, table, exprs), v=comparison)
+    return out.select(*keys, F.col("v.status").alias("status"), F.col("v.reason_code").alias("reason_code"))
 
 
 def c2_dates(spark, d):
-    return derived(spark, d, "orders", ORDER_DATES).select("o_orderkey", *SPLIT(fields.dates(F.col("src"), F.col("ent"))))
+    return judged(spark, d, "orders", ORDER_DATES, ["o_orderkey"], fields.dates(F.col("src"), F.col("ent")))
+
+
+def d2_birth_dates(spark, d):
+    return derived(spark, d, "orders", BIRTH_DATES).select("o_orderkey", S.parse_date(F.col("born"), True, 2026).alias("iso"))
 
 
 def c3_written_or_available(spark, d):
-    return derived(spark, d, "orders", ORDER_DATES).select("o_orderkey", *SPLIT(fields.written_or_available(F.col("src"), F.col("available"), F.col("ent"))))
+    return judged(spark, d, "orders", ORDER_DATES, ["o_orderkey"], fields.written_or_available(F.col("src"), F.col("available"), F.col("ent")))
 
 
 def d1_parse_date(spark, d):
@@ -25,23 +33,23 @@ def d1_parse_date(spark, d):
 
 def c6_quantity(spark, d):
     v = fields.quantity(*map(F.col, ("src", "src_unit", "ent", "ent_unit", "per_day")))
-    return derived(spark, d, "lineitem", LINE_QUANTITIES).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *SPLIT(v))
+    return judged(spark, d, "lineitem", LINE_QUANTITIES, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], v)
 
 
 def c7_refills(spark, d):
-    return derived(spark, d, "customer", CONTACTS).select("c_custkey", *SPLIT(fields.refills(*map(F.col, ("refills_src", "refills_ent", "total_fills")))))
+    return judged(spark, d, "customer", CONTACTS, ["c_custkey"], fields.refills(*map(F.col, ("refills_src", "refills_ent", "total_fills"))))
 
 
 def c9_npi(spark, d):
-    return derived(spark, d, "customer", CONTACTS).select("c_custkey", *SPLIT(fields.npi(F.col("npi_src"), F.col("npi_ent"))))
+    return judged(spark, d, "customer", CONTACTS, ["c_custkey"], fields.npi(F.col("npi_src"), F.col("npi_ent")))
 
 
 def c10_phone(spark, d):
-    return derived(spark, d, "customer", CONTACTS).select("c_custkey", *SPLIT(fields.phone(F.col("src"), F.col("ent"))))
+    return judged(spark, d, "customer", CONTACTS, ["c_custkey"], fields.phone(F.col("src"), F.col("ent")))
 
 
 def c12_substitution(spark, d):
-    return derived(spark, d, "customer", CONTACTS).select("c_custkey", *SPLIT(fields.substitution(F.col("not_allowed"), F.col("as_written"))))
+    return judged(spark, d, "customer", CONTACTS, ["c_custkey"], fields.substitution(F.col("not_allowed"), F.col("as_written")))
 
 
 def k1_ndc(spark, d):
@@ -49,15 +57,14 @@ def k1_ndc(spark, d):
 
 
 def c1_names(spark, d):
-    """Written and entered names; the ladder's regular expressions look ahead, which the SQL of the other side can't: brute-force tests instead."""
-    return derived(spark, d, "customer", NAMES).select("c_custkey", *SPLIT(fields.names(F.col("src"), F.col("ent"))))
+    return judged(spark, d, "customer", NAMES, ["c_custkey"], fields.names(F.col("src"), F.col("ent")))
 
 
 def verdict_rows(spark, d):
     rows = derived(spark, d, "customer", CONTACTS)
     c = F.col
-    v = {"refills": fields.refills(c("refills_src"), c("refills_ent"), c("total_fills")), "prescriberNPI": fields.npi(c("npi_src"), c("npi_ent")), "prescriberPhone": fields.phone(c("src"), c("ent")), "daw": fields.substitution(c("not_allowed"), c("as_written"))}
-    return verdicts.assemble(rows, v)
+    v = {"refills": fields.refills(c("refills_src"), c("refills_ent"), c("total_fills")), "prescriberNpi": fields.npi(c("npi_src"), c("npi_ent")), "prescriberPhone": fields.phone(c("src"), c("ent")), "daw": fields.substitution(c("not_allowed"), c("as_written"))}
+    return verdicts.assemble(fields.compared(rows, **{f"v_{k}": x for k, x in v.items()}), {k: c(f"v_{k}") for k in v})
 
 
 def a1_summary(spark, d):
@@ -83,6 +90,7 @@ _W, _A = _VERDICT.format(s="src", a="a"), _VERDICT.format(s="available", a="v")
 _UNIT = lambda c: f"CASE WHEN lower({c}) IN ('ea', 'each') THEN NULL WHEN lower({c}) LIKE 'tab%' THEN 'tab' WHEN lower({c}) LIKE 'cap%' THEN 'cap' ELSE lower({c}) END"
 _NUMBER = lambda c: f"CASE WHEN {c} = 'some' OR {c} = 'x' THEN NULL ELSE TRY_CAST({c} AS DOUBLE) END"
 _WHOLE = lambda x: f"abs({x} - floor({x} + 0.5)) < 0.05"
+_RATIO = "(greatest(floor(a / per_day + 0.5), floor(b / per_day + 0.5)) / nullif(least(floor(a / per_day + 0.5), floor(b / per_day + 0.5)), 0))"
 _DIGITS = lambda c: f"regexp_replace({c}, '[^0-9]', '', 'g')"
 _REFILLS = """CASE WHEN refills_src = '' OR refills_ent = '' THEN 'yellow:not_provided' WHEN refills_src = 'x' THEN 'yellow:unparseable_quantity'
  WHEN greatest(TRY_CAST(refills_src AS INT) - CASE WHEN total_fills THEN 1 ELSE 0 END, 0) = TRY_CAST(refills_ent AS INT) THEN 'green:exact_match' ELSE 'red:refills_mismatch' END"""
@@ -95,16 +103,19 @@ _DAW = "CASE WHEN not_allowed IS NULL THEN 'yellow:not_provided' WHEN NOT not_al
 _CUSTOMER = f"({select('customer', CONTACTS)})"
 _LONG = " UNION ALL ".join(f"SELECT c_custkey, '{c}' AS category, split_part({x}, ':', 1) AS status FROM {_CUSTOMER}" for c, x in (("Rx", _REFILLS), ("Prescriber", _NPI), ("Prescriber", _PHONE), ("Rx", _DAW)))
 
-QUERIES = {f.__name__: f for f in (c1_names, c2_dates, c3_written_or_available, d1_parse_date, c6_quantity, c7_refills, c9_npi, c10_phone, c12_substitution, k1_ndc, a1_summary, a3_categories)}
+QUERIES = {f.__name__: f for f in (c1_names, c2_dates, d2_birth_dates, c3_written_or_available, d1_parse_date, c6_quantity, c7_refills, c9_npi, c10_phone, c12_substitution, k1_ndc, a1_summary, a3_categories)}
 SQL = {
     "d1_parse_date": f"SELECT o_orderkey, b AS iso FROM ({_DATES})",
+    "d2_birth_dates": f"""SELECT o_orderkey, CASE WHEN length(split_part(born, '/', 3)) = 4 THEN strftime(strptime(born, '%m/%d/%Y'), '%Y-%m-%d')
+        ELSE strftime(make_date(CASE WHEN yy <= 26 THEN 2000 + yy WHEN yy <= 49 THEN 1900 + yy ELSE 1900 + yy END, CAST(split_part(born, '/', 1) AS INT), CAST(split_part(born, '/', 2) AS INT)), '%Y-%m-%d') END AS iso
+        FROM (SELECT *, CAST(split_part(born, '/', 3) AS INT) AS yy FROM ({select('orders', BIRTH_DATES)}))""",
     "c2_dates": f"SELECT o_orderkey, {_BOTH} FROM (SELECT *, {_W} AS w FROM ({_DATES}))",
     "c3_written_or_available": f"""SELECT o_orderkey, {_BOTH} FROM (SELECT *, CASE WHEN coalesce(trim(available), '') = '' THEN x WHEN y LIKE 'green%' THEN 'green:available_date_match'
         WHEN y LIKE 'yellow%' OR src = '' THEN y WHEN x LIKE 'green%' THEN x ELSE 'red:date_mismatch' END AS w FROM (SELECT *, {_W} AS x, {_A} AS y FROM ({_DATES})))""",
     "c6_quantity": f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {_BOTH} FROM (SELECT *, CASE WHEN src = '' OR ent = '' THEN 'yellow:not_provided' WHEN a IS NULL OR b IS NULL THEN 'yellow:unparseable_quantity'
         WHEN a = b AND coalesce(ua = ub, TRUE) THEN 'green:exact_match' WHEN NOT coalesce(ua = ub, TRUE) THEN 'red:unit_mismatch'
         WHEN {_WHOLE('a / per_day')} AND {_WHOLE('b / per_day')} AND floor(a / per_day + 0.5) BETWEEN 1 AND 120 AND floor(b / per_day + 0.5) BETWEEN 1 AND 120
-          AND {_WHOLE('greatest(a, b) / least(a, b)')} AND greatest(a, b) / least(a, b) <= 6.05 THEN 'yellow:quantity_adjusted' ELSE 'red:quantity_mismatch' END AS w
+          AND {_WHOLE(_RATIO)} AND {_RATIO} <= 6 THEN 'yellow:quantity_adjusted' ELSE 'red:quantity_mismatch' END AS w
         FROM (SELECT *, {_NUMBER('src')} AS a, {_NUMBER('ent')} AS b, {_UNIT('src_unit')} AS ua, {_UNIT('ent_unit')} AS ub FROM ({select('lineitem', LINE_QUANTITIES).replace('2.0D', '2.0').replace('1.0D', '1.0')})))""",
     "c7_refills": f"SELECT c_custkey, {_BOTH} FROM (SELECT *, {_REFILLS} AS w FROM {_CUSTOMER})",
     "c9_npi": f"SELECT c_custkey, {_BOTH} FROM (SELECT *, {_NPI} AS w FROM {_CUSTOMER})",

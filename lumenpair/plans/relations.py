@@ -105,9 +105,6 @@ def t8_levenshtein(spark, d):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance")).filter("distance <= 4")
 
 
-def k2_strength(spark, d):
-    return derived(spark, d, "part", MORE).select("p_partkey", S.stated_strength(F.col("full_name")).alias("strength"))
-
 
 def n4_currency(spark, d):
     rows = derived(spark, d, "supplier", ["s_suppkey", "CASE WHEN s_acctbal < 0 THEN '($' || CAST(CAST(-s_acctbal AS decimal(12,2)) AS string) || ')' WHEN s_suppkey % 5 = 0 THEN ' ' ELSE '$' || CAST(CAST(s_acctbal AS decimal(12,2)) AS string) END AS money"])
@@ -116,7 +113,7 @@ def n4_currency(spark, d):
 
 _G, _E = f"({select('lineitem', GRID)})", f"({select('events', EVENTS)})"
 _P = r"<!-- ad (\d+) -->"
-QUERIES = {f.__name__: f for f in (x9_savings, x10_best_per_class, x11_sort_state, w3_gap_islands, w4_cover_islands, w2_pitch, w7_midpoints, w12_changes, j14_interval_join, z3_debounce, a21_signature, j5_longest_prefix, j7_elided, a6_value_sets, a8_first_wins, a4_unambiguous, s11_latest_link, s3_requests, p12_fragment_leak, t8_levenshtein, k2_strength, n4_currency)}
+QUERIES = {f.__name__: f for f in (x9_savings, x10_best_per_class, x11_sort_state, w3_gap_islands, w4_cover_islands, w2_pitch, w7_midpoints, w12_changes, j14_interval_join, z3_debounce, a21_signature, j5_longest_prefix, j7_elided, a6_value_sets, a8_first_wins, a4_unambiguous, s11_latest_link, s3_requests, p12_fragment_leak, t8_levenshtein, n4_currency)}
 SQL = {
     "x9_savings": f"""SELECT l_orderkey, row_id, round(CAST(base - cost AS DOUBLE) / CAST(base AS DOUBLE) * 100, 6) AS savings_percent, CASE WHEN (base - cost) * 4 >= base THEN 'AboveThreshold' ELSE 'BelowThreshold' END AS tier
         FROM (SELECT *, min(cost) FILTER (is_primary) OVER (PARTITION BY l_orderkey) AS base FROM {_G}) WHERE NOT is_primary AND base > 0 AND cost < base""",
@@ -140,7 +137,6 @@ SQL = {
     "s11_latest_link": f"""SELECT page_id, arg_max(link, row(CAST(regexp_extract(link, '{_P}', 1) AS BIGINT), link)) AS link FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_P}')) AS link FROM pages) GROUP BY 1""",
     "s3_requests": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'missing_entered' WHEN 2 THEN 'missing_source' ELSE 'invalid_json' END AS error FROM events",
     "t8_levenshtein": "WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 4",
-    "k2_strength": "SELECT p_partkey, CAST(p_size AS VARCHAR) || 'mg' AS strength FROM part",
     "n4_currency": "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 AND s_suppkey % 5 = 0 THEN NULL ELSE CAST(CAST(s_acctbal AS decimal(12,2)) AS DOUBLE) END AS amount FROM supplier",
     "p12_fragment_leak": """WITH t AS (SELECT conv_id, turn, regexp_replace(lower(split_part(text, ' ', 1)), '[^a-z0-9]', '', 'g') AS v, regexp_replace(lower(array_to_string(string_split(text, ' ')[-3:], ' ')), '[^a-z0-9]', '', 'g') AS x FROM conversations)
         SELECT conv_id, turn, coalesce(len(list_filter(range(1, length(v) - 3), lambda i: contains(x, v[i:i + 4]))) > 0, FALSE) AS leaks FROM t""",

@@ -28,6 +28,7 @@ ORDER_DATES = [
     f"CASE o_orderkey % 6 WHEN 0 THEN {MDY.format('o_orderdate')} WHEN 1 THEN lpad({T('month(o_orderdate)')}, 2, '0') || '/' || lpad({T('day(o_orderdate)')}, 2, '0') || '/' || lpad({T('year(o_orderdate) % 100')}, 2, '0')"
     f" WHEN 2 THEN '  ' WHEN 3 THEN CAST(CAST(o_orderdate + INTERVAL 1 DAY AS date) AS string) WHEN 4 THEN '2/30/' || {T('year(o_orderdate)')} ELSE {MONTH.format('o_orderdate')} || ' ' || {T('day(o_orderdate)')} || ', ' || {T('year(o_orderdate)')} END AS ent",
 ]
+BIRTH_DATES = ["o_orderkey", f"CASE WHEN o_orderkey % 3 = 0 THEN {MDY.format('o_orderdate')} ELSE CAST(month(o_orderdate) AS string) || '/' || CAST(day(o_orderdate) AS string) || '/' || lpad(CAST(o_orderkey * 7 % 100 AS string), 2, '0') END AS born"]
 LINE_QUANTITIES = [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
     "CASE WHEN l_partkey % 13 = 0 THEN '' ELSE CAST(CAST(l_quantity AS int) AS string) END AS src",
