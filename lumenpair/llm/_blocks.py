@@ -57,5 +57,5 @@ def joined(rows: list[tuple], types: tuple) -> tuple[np.ndarray, ...]:
 
 
 def exchange(df: DataFrame, run: Callable, reducers: int, schema: str = SCHEMA) -> DataFrame:
-    """The rows of a bucket meet in one task, which run() turns into rows of schema."""
-    return df.repartition(reducers, F.col("bucket")).mapInArrow(run, schema)
+    """The rows of a bucket meet in one task, which run() turns into rows of schema. Buckets are dealt to tasks in turn, so that none has more of them than others."""
+    return df.repartitionById(reducers, F.col("bucket") % reducers).mapInArrow(run, schema)

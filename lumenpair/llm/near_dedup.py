@@ -1,7 +1,7 @@
 """Operator 5: exact join of documents by the Jaccard distance of their word n-grams, in regions around pivots.
 
 The set of a document is that of its word trigrams. Two texts are linked where their sets have a similarity of SIMILARITY or more, so a distance of at most
-t = 1 - SIMILARITY; every link is found. Texts with the same words are one node (by a 64-bit digest), so copies are never compared.
+t = 1 - SIMILARITY; every link is found. Copies of a text are one node (by a 64-bit digest), so they are never compared.
 
 1. Regions across the cluster. In a metric space of this many dimensions almost every document is at distance 1 from any pivot drawn from the corpus,
    so pivots are found where distances under 1 are: by shared n-grams. Each n-gram belongs to a pivot, the node of least rank that has it, and a
@@ -35,8 +35,9 @@ SPARE = 0.999 * SIMILARITY / (1 + SIMILARITY)
 LEAF, CELLS = 1500, 6_000_000
 #: Nodes of a region that one task takes, and pivots that part a larger one.
 CELL, PIVOTS = 4000, 32
-#: Frequent n-grams, looked for in a sample of 1 / SAMPLE of the nodes: they bring their pivot along instead of meeting in one task. Only the plan depends on them.
-FREQUENT, SAMPLE = 16_384, 64
+#: At most so many n-grams, those in OFTEN nodes or more as estimated by a sample of 1 / SAMPLE of them, bring their pivot along instead of meeting in one task. Only the
+#: plan depends on them.
+FREQUENT, OFTEN, SAMPLE = 16_384, 20_000, 64
 U = np.uint64
 KEY = ["region", "cell", "block"]
 
@@ -48,9 +49,43 @@ def sets(texts: pa.Array) -> list[np.ndarray]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, text) of the rows with both; texts with the same words have the same node, those without words a null one."""
-    words = F.trim(F.regexp_replace(F.lower("text"), r"[^\pL\pN]+", " "))
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.when(words != "", F.xxhash64(words)).alias("node"), "text")
+    """(doc_id, node, text) of the rows with both; the same texts have the same node."""
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("node"), "text")
+
+
+class Postings:
+    """Sends (n-gram, node) to the bucket of the n-gram. A node's n-grams follow each other, so a row of a bucket has the n-grams, each node once, and a bit for each n-gram
+    that says whether the next node begins: what a posting takes depends little on the number of buckets."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.n = buckets, [], 0
+
+    def add(self, gram: np.ndarray, node: np.ndarray):
+        bucket = (gram % U(self.buckets)).astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
+        # a reducer needs to tell n-grams apart, not to know them: where two look alike their nodes only meet once more
+        self.held.append((bucket, ((gram // U(self.buckets)) & U(0xFFFFFFFF)).astype(np.uint32), node))
+        self.n += len(gram)
+        if self.n >= blocks.HOLD:
+            yield from self.flush()
+
+    def flush(self):
+        if self.n:
+            bucket, gram, node = (np.concatenate(x) for x in zip(*self.held))
+            order = np.argsort(bucket, kind="stable")
+            bucket, gram, node = bucket[order], gram[order], node[order]
+            start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            rows = []
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(bucket)]):
+                own = node[s:e]
+                new = np.r_[True, own[1:] != own[:-1]]
+                rows.append((int(bucket[s]), 0, gram[s:e].tobytes(), own[new].tobytes(), np.packbits(new).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), blocks.ARROW)], schema=blocks.ARROW)
+        self.held, self.n = [], 0
+
+    @staticmethod
+    def read(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        node = [ids[np.cumsum(np.unpackbits(new)[: len(gram)]) - 1] for _, gram, ids, new in rows]
+        return np.concatenate([r[1] for r in rows]), np.concatenate(node)
 
 
 def frequent(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -72,23 +107,28 @@ def frequent(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nda
         yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n), pa.array((low >> U(1)).view(np.int64))], ["gram", "n", "low"])
 
     got = texts.filter(F.pmod("node", F.lit(SAMPLE)) == 0).mapInArrow(count, "gram long, n long, low long").groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"))
-    rows = got.filter("n > 1").orderBy(F.desc("n"), "gram").limit(most).toPandas()
+    rows = got.filter(F.col("n") * SAMPLE >= OFTEN).orderBy(F.desc("n"), "gram").limit(most).toPandas()
     gram = rows["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(gram)
     return gram[order], (rows["low"].to_numpy(np.int64).view(np.uint64) << U(1))[order]
 
 
 def regions(texts: DataFrame) -> DataFrame:
-    """(node, regions array<bigint>) of each node of texts(node, text) that may have a partner: the pivots to whose regions it goes."""
+    """(node, regions array<bigint>) of each node of texts(node, text) that may have a partner: the pivots to whose regions it goes. A task sends each node
+    once, so a text with a million copies is a few rows."""
     reducers = partitions(texts)
-    buckets = reducers * 4
+    buckets = reducers
     own = lambda ids: text.mix(ids.view(np.uint64)) % U(buckets)
     handle = texts.sparkSession.sparkContext.broadcast(frequent(texts))  # at most FREQUENT rows
 
     def send(batches):
         often, lead_of = handle.value
-        grams, spare, known = blocks.Sender(buckets), blocks.Sender(buckets, kind=1), blocks.Sender(buckets, kind=2)
+        grams, spare, known = Postings(buckets), blocks.Sender(buckets, kind=1), blocks.Sender(buckets, kind=2)
+        sent: set = set()
         for part in text.pieces(batches):
+            fresh = [k for k, x in enumerate(part.column(0).to_pylist()) if x not in sent and not sent.add(x)]
+            if len(fresh) < part.num_rows:
+                part = part.take(pa.array(fresh, pa.int64()))
             ids, found = np.asarray(part.column(0)), sets(part.column(1))
             n = np.array([len(x) for x in found])
             some = n > 0
@@ -98,25 +138,27 @@ def regions(texts: DataFrame) -> DataFrame:
                 if len(often):
                     at = np.minimum(np.searchsorted(often, g), len(often) - 1)
                     hit = often[at] == g
-                    yield from known.add(own(doc[hit]), doc[hit], lead_of[at[hit]].view(np.int64), np.ones(hit.sum(), np.int32))
+                    some, pivot, n = counted(doc[hit], lead_of[at[hit]].view(np.int64), np.ones(hit.sum(), np.int32))
+                    yield from known.add(own(some), some, pivot, n)
                     g, doc = g[~hit], doc[~hit]
-                # a reducer needs to tell n-grams apart, not to know them: where two look alike their nodes only meet once more
-                yield from grams.add(g % U(buckets), ((g // U(buckets)) & U(0xFFFFFFFF)).astype(np.uint32), doc, np.zeros(len(g), np.int8))
+                yield from grams.add(g, doc)
         for sender in (grams, spare, known):
             yield from sender.flush()
 
     def lead(batches):
-        pairs, kinds = blocks.Sender(buckets), {0: (np.uint32, np.int64, np.int8), 1: (np.int64, np.float64, np.int8), 2: (np.int64, np.int64, np.int32)}
+        pairs, kinds = blocks.Sender(buckets), {0: (np.uint32, np.int64, np.uint8), 1: (np.int64, np.float64, np.int8), 2: (np.int64, np.int64, np.int32)}
         got = blocks.gather(batches, kinds)
-        for kind, as_kind in ((1, 1), (2, 0)):  # these only pass
+        for kind, as_kind in ((1, 1), (2, 2)):  # these only pass
             for bucket, *values in got[kind]:
                 row = [[bucket], [as_kind], *[[v.tobytes()] for v in values]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, blocks.ARROW)], schema=blocks.ARROW)
         out = []
         for b in sorted({r[0] for r in got[0]}):
-            _, g, doc, _ = blocks.joined([r for r in got[0] if r[0] == b], kinds[0])
-            order = np.argsort(g, kind="stable")
+            g, doc = Postings.read([r for r in got[0] if r[0] == b])
+            order = np.lexsort((doc, g))
             g, doc = g[order], doc[order]
+            once = np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]  # other tasks may send a copy
+            g, doc = g[once], doc[once]
             start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             low, high = np.minimum.reduceat(doc.view(np.uint64), start), np.maximum.reduceat(doc.view(np.uint64), start)
             n = np.diff(np.r_[start, len(g)])
@@ -130,10 +172,12 @@ def regions(texts: DataFrame) -> DataFrame:
                 yield from pairs.flush()
 
     def choose(batches):
-        kinds = {0: (np.int64, np.int64, np.int32), 1: (np.int64, np.float64, np.int8)}
+        kinds = {0: (np.int64, np.int64, np.int32), 1: (np.int64, np.float64, np.int8), 2: (np.int64, np.int64, np.int32)}
         got = blocks.gather(batches, kinds)
         _, ids, d, _ = blocks.joined(got[1], kinds[1])
-        _, doc, pivot, n = blocks.joined(got[0], kinds[0])
+        _, doc, pivot, n = blocks.joined(got[2], kinds[2])
+        once = np.unique(np.stack([doc, pivot, n]), axis=1)  # copies say the same
+        _, doc, pivot, n = (np.r_[x, y] for x, y in zip((0, *once), blocks.joined(got[0], kinds[0])))
         doc, pivot, n = counted(doc, pivot, n)
         ids, first = np.unique(ids, return_index=True)
         d = d[first]
@@ -395,11 +439,10 @@ def parted(rows: DataFrame, with_text, cell: int = CELL) -> DataFrame:
 def linked(docs: DataFrame, cell: int = CELL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, node) of every row with a doc_id and a text; (node, doc_id) of each node and the least document that has it; and join_cells()."""
     member = cut(nodes(docs).select("doc_id", "node"))
-    first = member.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    # texts travel once, to the place of their node and doc_id: all copies of a text aren't in one place
-    placed = nodes(docs).filter("node IS NOT NULL").repartition(partitions(docs), "node", "doc_id")
-    with_text = lambda rows: rows.join(placed, ["node", "doc_id"])
-    near = cut(regions(with_text(first)))
+    first = member.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    near = cut(regions(nodes(docs).select("node", "text")))
+    # by node and doc_id, so that all copies of a text aren't in one place
+    with_text = lambda rows: rows.join(nodes(docs), ["node", "doc_id"])
     apart = near.select("node", F.explode("regions").alias("region"))
     hot = apart.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > cell)
     rows = apart.select("region", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("block"), F.lit(False).alias("guest"), "node")
@@ -426,28 +469,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, cell: int = CELL) -> DataFrame:
-    """(doc_id, class_id, n_links), one row for each doc_id. Documents that are linked, by way of others too, or that have the same words, are a class; class_id is its
-    least doc_id. n_links is the number of different texts, by their words, that the document's own is linked with; copies count once.
+    """(doc_id, class_id, n_links), one row for each doc_id. Documents that are linked, by way of others too, or that have the same text, are a class; class_id is its
+    least doc_id. n_links is the number of other texts that the document's own is linked with; copies count once.
 
-    Words are runs of letters and digits in lower case; a text of one or two words has one n-gram, itself. A document with a null text, or one without words, is a class
-    of its own; rows without doc_id have no row. Rows that share a doc_id are one document: in one class, with the greatest n_links of any. Extra columns
+    Words are runs of letters and digits in lower case; a text of one or two words has one n-gram, itself; one without words has no links. A document with a null text is
+    a class of its own; rows without doc_id have no row. Rows that share a doc_id are one document: in one class, with the greatest n_links of any. Extra columns
     are ignored. Every document is a query; no link is left out."""
     member, first, joined = linked(docs, cell)
     links = joined.groupBy("node").agg(F.sum("n").alias("n_links"))
-    some = member.filter("node IS NOT NULL").distinct()
+    some = member.distinct()
     least = some.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").drop("most")
     edges = joined.select(F.col("node").alias("doc_a"), F.col("root").alias("doc_b")).unionByName(some.join(least, "doc_id").select(F.col("node").alias("doc_a"), F.col("least").alias("doc_b")))
     top = first.join(components(edges).select(F.col("doc_id").alias("node"), "group_id"), "node", "left").withColumn("top", F.coalesce("group_id", "node"))
     known = top.join(top.groupBy("top").agg(F.min("doc_id").alias("class_id")), "top").join(links, "node", "left").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = member.filter("node IS NOT NULL").join(known, "node").select("doc_id", "class_id", "n_links")
-    alone = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NULL").select("doc_id").unionByName(member.filter("node IS NULL").select("doc_id"))
-    out = out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
-    return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    out = member.join(known, "node").select("doc_id", "class_id", "n_links")
+    alone = docs.filter("doc_id IS NOT NULL AND text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without those whose class (see groups()) has a lesser doc_id, with all their columns, extra ones of any
-    name included. Rows without doc_id, text or words stay, and so do rows that share the doc_id that stays."""
+    name included. Rows without doc_id or text stay, and so do rows that share the doc_id that stays."""
     name = free(docs, "copy")
     gone = groups(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias(name))
     return docs.join(gone, F.col("`doc_id`") == F.col(name), "left_anti")
@@ -460,17 +502,16 @@ def op5_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op5_near_pairs": op5_near_pairs}
 SQL = {
     "op5_near_pairs": f"""
-    WITH RECURSIVE w AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')) AS words FROM documents),
-    c AS (SELECT doc_id, words, min(doc_id) OVER (PARTITION BY words) AS rep FROM w WHERE words <> ''),
-    s AS (SELECT rep, string_split(words, ' ') AS ws FROM c WHERE doc_id = rep),
+    WITH RECURSIVE c AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT rep, string_split(trim(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g')), ' ') AS ws FROM c WHERE doc_id = rep),
     g AS (SELECT rep, list_distinct(CASE WHEN len(ws) < {WORDS} THEN [array_to_string(ws, ' ')]
-            ELSE list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' ')) END) AS gs FROM s),
+            ELSE list_transform(range(1, len(ws) - {WORDS - 2}), lambda i: array_to_string(ws[i:i + {WORDS - 1}], ' ')) END) AS gs FROM s WHERE ws <> ['']),
     t AS (SELECT rep, len(gs) AS n, unnest(gs) AS x FROM g),
     o AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.rep <> b.rep GROUP BY ALL),
     e AS MATERIALIZED (SELECT a, b FROM o WHERE k >= {SIMILARITY} * (na + nb - k)),
     r AS (SELECT rep AS a, rep AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
     k AS (SELECT a, min(b) AS top FROM r GROUP BY a),
     d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
-    SELECT w.doc_id, coalesce(k.top, w.doc_id) AS class_id, coalesce(d.n, 0) AS n_links
-    FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN k ON k.a = c.rep LEFT JOIN d ON d.a = c.rep"""
+    SELECT w.doc_id, coalesce(k.top, c.rep, w.doc_id) AS class_id, coalesce(d.n, 0) AS n_links
+    FROM documents w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN k ON k.a = c.rep LEFT JOIN d ON d.a = c.rep"""
 }
