@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lumenpair.llm import _text as text
 from lumenpair.llm._spark import free, table
 
-#: Words in a seed, of which an item has all; an item of fewer words matches nothing.
-SEED_WORDS, MIN_ITEM_WORDS = 3, 8
+#: Words in a seed, of which an item has all. An item of fewer than WHOLE_WORDS words leaks only where all of it is there, word for word.
+SEED_WORDS, WHOLE_WORDS = 3, 8
 #: Smith-Waterman scores of words, and the least score of a leak as a share of the item's score with itself.
 MATCH, MISMATCH, GAP, LEAST = 2.0, -1.0, 1.0, 0.4
 #: Words of test items that are broadcast at once; beyond it they go in groups, a pass each.
@@ -48,9 +48,9 @@ class Items:
         self.size = np.diff(off)
         gram, goff, pos = text.ngrams(tok, off, SEED_WORDS)
         item = np.repeat(np.arange(len(ids)), np.diff(goff))
-        long = self.size[item] >= MIN_ITEM_WORDS if len(item) else np.zeros(0, bool)
-        order = np.argsort(gram[long], kind="stable")
-        self.gram, self.item, self.pos = gram[long][order], item[long][order], pos[long][order]
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.item, self.pos = gram[order], item[order], pos[order]
+        self.least = np.where(self.size < WHOLE_WORDS, 1.0, LEAST)
         self.distinct = np.unique(self.gram)
 
     def find(self, gram: np.ndarray) -> np.ndarray:
@@ -76,9 +76,9 @@ class Items:
             own = self.words[i]
             slack = int((1 - LEAST) * MATCH * len(own) / GAP) + 1
             window, full = words[max(0, low - slack) : high + len(own) + slack], MATCH * len(own)
-            if ceiling(own, window) >= LEAST * full:
+            if ceiling(own, window) >= self.least[i] * full:
                 s = align(own, window) / full
-                if s >= LEAST:
+                if s >= self.least[i]:
                     out[i] = max(s, out.get(i, 0))
         return sorted(out.items())
 
@@ -96,28 +96,39 @@ def groups(benchmark: DataFrame):
         yield rows
 
 
+def scored(items: Items, texts: pa.Array) -> list[tuple[int, int, float]]:
+    """[(place of the text, place of the item, score)] of an array of texts."""
+    tok, off = text.hashed(texts)
+    gram, goff, _ = text.ngrams(tok, off, SEED_WORDS)
+    hit = np.flatnonzero(items.find(gram) >= 0)
+    doc = np.searchsorted(goff, hit, "right") - 1
+    start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    out = []
+    for d, own in zip(doc[start].tolist(), np.split(hit, start[1:])):
+        out += [(d, i, s) for i, s in items.leaks(tok[off[d] : off[d + 1]], gram[goff[d] : goff[d + 1]], own - goff[d])]
+    return out
+
+
+def shared_items(docs: DataFrame, benchmark: DataFrame):
+    """Broadcasts of the items, each of bounded size."""
+    for rows in groups(benchmark):
+        yield docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in rows], [r["text"] for r in rows]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score) for each document and test item whose alignment scores at least LEAST of the item with itself, where they share an n-gram of SEED_WORDS.
 
-    Null or empty texts and null ids match nothing, nor do items of under MIN_ITEM_WORDS words. Rows that share a doc_id are one document, and items
-    that share an item_id one item, with the best score. Texts count whole. One scan; no text is shuffled."""
+    Of an item of under WHOLE_WORDS words all must be there; one of under SEED_WORDS matches documents that have its words and no others. Null or empty texts and null
+    ids match nothing. Rows that share a doc_id are one document, and items that share an item_id one item, with the best score. Texts count whole. One scan; no
+    text is shuffled."""
     out = None
-    for rows in groups(benchmark):
-        items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-        handle = docs.sparkSession.sparkContext.broadcast(items)
+    for handle in shared_items(docs, benchmark):
 
         def run(batches, handle=handle):
             have = handle.value
             for part in text.pieces(batches):
-                tok, off = text.hashed(part.column(1))
-                gram, goff, _ = text.ngrams(tok, off, SEED_WORDS)
-                hit = np.flatnonzero(have.find(gram) >= 0)
-                doc = np.searchsorted(goff, hit, "right") - 1
-                ids, found = part.column(0), []
-                for d in np.unique(doc):
-                    if ids[int(d)].is_valid:
-                        own = hit[doc == d] - goff[d]
-                        found += [(ids[int(d)].as_py(), have.ids[i], s) for i, s in have.leaks(tok[off[d] : off[d + 1]], gram[goff[d] : goff[d + 1]], own)]
+                ids = part.column(0).to_pylist()
+                found = [(ids[d], have.ids[i], s) for d, i, s in scored(have, part.column(1)) if ids[d] is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "score"])
 
         got = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double")
@@ -128,10 +139,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a leak, with all their columns, extra ones of any name included. Rows without doc_id or text stay."""
-    bad = free(docs, "leak")
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias(bad)).distinct()
-    return docs.join(found, F.col("`doc_id`") == F.col(bad), "left_anti")
+    """The rows of docs whose text has no leak, with all their columns, extra ones of any name included. Each row is decided by its own text, with or without
+    a doc_id; rows without text stay. No shuffle."""
+    for handle in shared_items(docs, benchmark):
+
+        def leaky(texts, handle=handle):
+            import pandas as pd
+
+            have, out = handle.value, np.zeros(len(texts), bool)
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
+            at = 0
+            for part in text.pieces([batch]):
+                out[[at + d for d, _, _ in scored(have, part.column(0))]] = True
+                at += part.num_rows
+            return pd.Series(out)
+
+        docs = docs.filter(~F.pandas_udf(leaky, "boolean")(F.col("`text`")))
+    return docs
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

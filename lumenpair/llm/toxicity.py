@@ -131,16 +131,18 @@ def continuations(docs: DataFrame, vocab_model: Model) -> np.ndarray:
     """For each word id the number of its different left neighbours over all documents. Tasks send the pairs that they met, each once, as
     differences of sorted keys. Words outside the sample's vocabulary are one word here. What comes back is one number for each word."""
     reducers, size = partitions(docs), len(vocab_model.vocab) + 1
-    handle = docs.sparkSession.sparkContext.broadcast(vocab_model)
+    none = np.zeros(0)
+    handle = docs.sparkSession.sparkContext.broadcast(Model(vocab_model.vocab, none, none, none, none, none, none))
+    once = lambda x: np.asarray(pa.array(x).unique())
 
     def send(batches):
         m, met, held = handle.value, np.zeros(0, np.int64), []
         for part in text.pieces(batches):
             ids, off = m.ids(part.column(0))
-            held.append(np.unique(m.pairs(ids, off)[1]))
+            held.append(once(m.pairs(ids, off)[1]))
             if sum(map(len, held)) > blocks.HOLD:
-                met, held = np.unique(np.concatenate([met, *held])), []
-        met = np.unique(np.concatenate([met, *held]))
+                met, held = once(np.concatenate([met, *held])), []
+        met = np.sort(once(np.concatenate([met, *held])))
         word = met % size
         to = (text.mix(word.astype(np.uint64)) % np.uint64(reducers * 4)).astype(np.int64)
         rows = []
@@ -151,7 +153,7 @@ def continuations(docs: DataFrame, vocab_model: Model) -> np.ndarray:
 
     def count(batches):
         met = [np.cumsum(np.frombuffer(x, np.int64)) for batch in batches for x in batch.column(1).to_pylist()]
-        words, n = np.unique((np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)) % size, return_counts=True)
+        words, n = np.unique((once(np.concatenate(met)) if met else np.zeros(0, np.int64)) % size, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], ["word", "n"])
 
     sent = docs.select("text").mapInArrow(send, "bucket int, a binary")

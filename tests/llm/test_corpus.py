@@ -71,17 +71,15 @@ def jaccard(a, b):
 
 def plain_groups(rows):
     """(doc_id, class_id, n_links) by comparing all pairs of different texts."""
-    words = {d: " ".join("".join(c if c.isalnum() else " " for c in (t or "").lower()).split()) for d, t in rows}
     rep = {}
-    for d in sorted(words):
-        if words[d]:
-            rep.setdefault(words[d], d)
-    reps = sorted(rep.values())
-    near = {d: {e for e in reps if e != d and jaccard(words[d], words[e]) >= near_dedup.SIMILARITY} for d in reps}
-    top = {d: d for d in reps}
-    for _ in reps:
-        top = {d: min([top[d], *(top[e] for e in near[d])]) for d in reps}
-    return sorted((d, top[rep[w]], len(near[rep[w]])) if w else (d, d, 0) for d, w in words.items())
+    for d, t in sorted(rows):
+        rep.setdefault(t, d)
+    text = {d: t for t, d in rep.items()}
+    near = {d: {e for e in text if e != d and jaccard(text[d], text[e]) >= near_dedup.SIMILARITY} for d in text}
+    top = {d: d for d in text}
+    for _ in text:
+        top = {d: min([top[d], *(top[e] for e in near[d])]) for d in text}
+    return sorted((d, top[rep[t]], len(near[rep[t]])) for d, t in rows)
 
 
 def near_rows():
@@ -109,6 +107,7 @@ def test_near_groups_against_brute_force(spark, empty, cell):
 def test_frequent_ngrams_change_nothing(spark, monkeypatch):
     rows = near_rows()
     monkeypatch.setattr(near_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(near_dedup, "OFTEN", 2)
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert len(near_dedup.frequent(near_dedup.nodes(d).select("node", "text"))[0]) > 100
     assert sorted(tuple(x) for x in near_dedup.groups(d).collect()) == plain_groups(rows)
@@ -246,7 +245,12 @@ def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(7, item), (8, "too few words"), (9, None), (None, "x"), (10, "")], "item_id long, text string")
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in benchmark.leaks(d, items).collect()) == [(1, 7), (2, 7)]
-    assert ids(benchmark.keep_clean(d, items)) == [-1, 3, 4, 5]
+    assert ids(benchmark.keep_clean(d, items)) == [3, 4, 5]  # the row without an id is the item itself
+    some = [(1, "a b c too few words d"), (2, "too few"), (2, "too  FEW! words"), (3, "few words"), (3, "x")]
+    got = spark.createDataFrame(some, "doc_id long, text string")
+    short = spark.createDataFrame([(8, "too few words"), (11, "few words"), (11, "few words"), (12, "absent")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.score) for r in benchmark.leaks(got, short).collect()) == [(1, 8, 1.0), (2, 8, 1.0), (3, 11, 1.0)]
+    assert sorted(r.text for r in benchmark.keep_clean(got, short).collect()) == ["too few", "x"]
     assert benchmark.leaks(empty, items).count() == 0 and benchmark.leaks(d, items.limit(0)).count() == 0
     assert benchmark.keep_clean(docs, items).columns == docs.columns
 
@@ -360,6 +364,50 @@ def test_pipeline_keeps_its_contract(spark):
     assert out.filter(~F.col("round_trip")).count() == 0 and 0 < out.count() < docs.count()
 
 
+def test_pipeline_stages_take_hard_rows(spark, docs, empty, tmp_path):
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    for rows in (docs, empty):
+        kept = rows
+        for k, (_, stage) in enumerate(p.STAGES):
+            out = stage(spark, kept, sf)
+            if k < len(p.STAGES) - 1:
+                assert out.columns == rows.columns
+                out.write.parquet(str(tmp_path / f"{rows is docs}-{k}"))
+                out = spark.read.parquet(str(tmp_path / f"{rows is docs}-{k}"))
+                assert out.count() <= kept.count()
+            kept = out
+        assert kept.columns == ["doc_id", "token_ids", "n_tokens", "round_trip"] and (rows is docs or kept.count() == 0)
+        assert kept.filter("NOT round_trip").count() == 0
+
+
+def test_quality_rules_against_plain_evaluation(spark, docs):
+    r = random.Random(8)
+    rows = [(k, (prose(r.randint(1, 60), k) + r.choice([".", "!!", " ### $$", " ABC 123\n\n"])) * r.randint(1, 3)) for k in range(60)] + [(60, ""), (61, None), (62, "\n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    stats = quality.statistics(F.col("text"))
+    x = {row["doc_id"]: row for row in d.select("doc_id", *[c.alias(s) for s, c in stats.items()]).collect()}
+    for i, t in rows:
+        t, words = t or "", (t or "").split()
+        lines = [v for v in t.split("\n") if v]
+        assert x[i]["n_words"] == len(words) and x[i]["distinct_share"] == pytest.approx(len(set(words)) / max(1, len(words)))
+        assert x[i]["upper_share"] == pytest.approx(sum(c.isupper() for c in t) / max(1, len(t))) and x[i]["distinct_line_share"] == pytest.approx(len(set(lines)) / max(1, len(lines)))
+        assert x[i]["symbol_share"] == pytest.approx(sum(c in quality.SYMBOLS for c in t) / max(1, len(t))) and x[i]["stop_share"] == pytest.approx(sum(c in ".?;:" for c in t) / max(1, len(t)))
+    model = quality.train(d, spark.createDataFrame([(k, int("###" not in (t or ""))) for k, t in rows], "doc_id long, quality int"))
+    assert model.rules
+    for row in quality.score(d, model).collect():
+        logit = model.bias + sum(rule.weight for rule in model.rules if all((x[row.doc_id][s] > v) == up for s, up, v in rule.tests))
+        assert row.score == pytest.approx(1 / (1 + 2.718281828459045**-logit), abs=2e-6) and row["keep"] == (logit >= 0)
+
+
+def test_quality_of_odd_labels(spark):
+    d = spark.createDataFrame([(k, prose(30, k)) for k in range(20)], "doc_id long, text string")
+    for labels in ([], [(1, 1), (1, 1)], [(1, 0)], [(1, 0), (1, 1), (2, None), (None, 1), (500, 0)]):
+        m = quality.train(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert quality.score(d, m).count() == 20
+
+
 def test_ngram_of_short_texts():
     from lumenpair.llm import _text as text
 
