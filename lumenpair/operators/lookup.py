@@ -45,3 +45,8 @@ def first_wins(rows: DataFrame, key: str, ordinal: str, *values: str) -> DataFra
 def unambiguous(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value) for keys with exactly one distinct value; others have a null."""
     return rows.groupBy(key).agg(F.when(F.min(value) == F.max(value), F.max(value)).alias(value))
+
+
+def inverted(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): all values of a key in their order, each once."""
+    return rows.select(key, value).na.drop().distinct().groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))

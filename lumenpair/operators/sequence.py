@@ -74,3 +74,25 @@ def debounce(rows: DataFrame, key: str, order: list[str], signal: str, tick: str
 def in_interval(points: DataFrame, intervals: DataFrame, key: str, x: str, lo: str, hi: str) -> DataFrame:
     """points joined to the intervals of their key that hold them, lo included. The key's equi-join carries it; the bounds are its residual."""
     return points.join(intervals, key).filter((F.col(x) >= F.col(lo)) & (F.col(x) < F.col(hi)))
+
+
+def current(rows: DataFrame, key: str, generation: str) -> DataFrame:
+    """The rows of each key's latest generation; older ones are stale. Rows without a generation go. The latest is one row a key, joined on it."""
+    latest = rows.groupBy(key).agg(F.max(generation).alias(generation))
+    return rows.join(latest, [key, generation], "left_semi")
+
+
+def upper_median(value: Column) -> Column:
+    """Aggregate: the middle value, of an even number the upper of the two."""
+    return F.sort_array(F.collect_list(value))[F.floor(F.count(value) / 2).cast("int")]
+
+
+def share_near(rows: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
+    """(key, share): of a key's values, the share that is within tolerance of their upper median."""
+    gathered = rows.groupBy(key).agg(F.collect_list(value).alias("_v"), upper_median(F.col(value)).alias("_m"))
+    return gathered.select(key, (F.size(F.filter("_v", lambda x: F.abs(x - F.col("_m")) <= tolerance)) / F.size("_v")).alias("share"))
+
+
+def box(left: Column, top: Column, right: Column, bottom: Column) -> list[Column]:
+    """Aggregates: the rectangle around all."""
+    return [F.min(left).alias("left"), F.min(top).alias("top"), F.max(right).alias("right"), F.max(bottom).alias("bottom")]

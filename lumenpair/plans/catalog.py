@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lumenpair.plans import fields, relations
+from lumenpair.plans import fields, relations, rules
 
-MODULES = (fields, relations)
+MODULES = (fields, relations, rules)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
 ENTRY = fields.c2_dates

@@ -94,11 +94,6 @@ def s3_requests(spark, d):
     return rows.select("event_id", requests.request_error(F.col("line")).alias("error"))
 
 
-def p12_fragment_leak(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.col("text"))
-    return rows.select("conv_id", "turn", requests.leaks_fragment(F.element_at(F.split("text", " "), 1), F.substring_index("text", " ", -3)).alias("leaks"))
-
-
 def t8_levenshtein(spark, d):
     names = table(spark, d, "part").select("p_name").distinct()
     a, b = names.withColumnRenamed("p_name", "a"), names.withColumnRenamed("p_name", "b")  # the names of a vocabulary, not rows
@@ -113,7 +108,7 @@ def n4_currency(spark, d):
 
 _G, _E = f"({select('lineitem', GRID)})", f"({select('events', EVENTS)})"
 _P = r"<!-- ad (\d+) -->"
-QUERIES = {f.__name__: f for f in (x9_savings, x10_best_per_class, x11_sort_state, w3_gap_islands, w4_cover_islands, w2_pitch, w7_midpoints, w12_changes, j14_interval_join, z3_debounce, a21_signature, j5_longest_prefix, j7_elided, a6_value_sets, a8_first_wins, a4_unambiguous, s11_latest_link, s3_requests, p12_fragment_leak, t8_levenshtein, n4_currency)}
+QUERIES = {f.__name__: f for f in (x9_savings, x10_best_per_class, x11_sort_state, w3_gap_islands, w4_cover_islands, w2_pitch, w7_midpoints, w12_changes, j14_interval_join, z3_debounce, a21_signature, j5_longest_prefix, j7_elided, a6_value_sets, a8_first_wins, a4_unambiguous, s11_latest_link, s3_requests, t8_levenshtein, n4_currency)}
 SQL = {
     "x9_savings": f"""SELECT l_orderkey, row_id, round(CAST(base - cost AS DOUBLE) / CAST(base AS DOUBLE) * 100, 6) AS savings_percent, CASE WHEN (base - cost) * 4 >= base THEN 'AboveThreshold' ELSE 'BelowThreshold' END AS tier
         FROM (SELECT *, min(cost) FILTER (is_primary) OVER (PARTITION BY l_orderkey) AS base FROM {_G}) WHERE NOT is_primary AND base > 0 AND cost < base""",
@@ -138,6 +133,4 @@ SQL = {
     "s3_requests": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'missing_entered' WHEN 2 THEN 'missing_source' ELSE 'invalid_json' END AS error FROM events",
     "t8_levenshtein": "WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name) AS distance FROM n a JOIN n b ON a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 4",
     "n4_currency": "SELECT s_suppkey, CASE WHEN s_acctbal >= 0 AND s_suppkey % 5 = 0 THEN NULL ELSE CAST(CAST(s_acctbal AS decimal(12,2)) AS DOUBLE) END AS amount FROM supplier",
-    "p12_fragment_leak": """WITH t AS (SELECT conv_id, turn, regexp_replace(lower(split_part(text, ' ', 1)), '[^a-z0-9]', '', 'g') AS v, regexp_replace(lower(array_to_string(string_split(text, ' ')[-3:], ' ')), '[^a-z0-9]', '', 'g') AS x FROM conversations)
-        SELECT conv_id, turn, coalesce(len(list_filter(range(1, length(v) - 3), lambda i: contains(x, v[i:i + 4]))) > 0, FALSE) AS leaks FROM t""",
 }
