@@ -21,7 +21,7 @@ def cover_islands(rows: DataFrame, key: str, order: list[str], start: Column, en
 
 
 def pitch(rows: DataFrame, key: str, order: list[str], x: Column) -> DataFrame:
-    """(key, pitch): the median distance of neighbours; null for a key with one row."""
+    """(key, pitch): the median distance of neighbours; null for a key with one row, whose own height layout.row_pitch() gives."""
     w = W.partitionBy(key).orderBy(*order)
     return rows.select(key, (x - F.lag(x).over(w)).alias("_gap")).groupBy(key).agg(F.median("_gap").alias("pitch"))
 
@@ -96,3 +96,10 @@ def share_near(rows: DataFrame, key: str, value: str, tolerance: float) -> DataF
 def box(left: Column, top: Column, right: Column, bottom: Column) -> list[Column]:
     """Aggregates: the rectangle around all."""
     return [F.min(left).alias("left"), F.min(top).alias("top"), F.max(right).alias("right"), F.max(bottom).alias("bottom")]
+
+
+def chosen_window(windows: DataFrame, key: str) -> DataFrame:
+    """(key, z, kind): of a key's windows(kind, shown, front, z) that are shown and of a known kind the one in front, else that of least z."""
+    some = windows.filter((F.col("kind") != "None") & F.col("shown"))
+    best = some.groupBy(key).agg(F.min(F.struct((~F.col("front")).alias("_f"), "z", "kind")).alias("_b"))
+    return best.select(key, F.col("_b.z").alias("z"), F.col("_b.kind").alias("kind"))
