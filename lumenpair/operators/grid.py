@@ -13,10 +13,9 @@ def package_class(amount: Column, large: int = 500) -> Column:
 
 def savings(rows: DataFrame, grid: str, row: str, primary: Column, cost: str, threshold: float = 25.0) -> DataFrame:
     """(grid, row, savings_percent, tier) of rows of other suppliers that are cheaper than the cheapest primary row. A grid has no baseline where that row's
-    cost isn't positive, or none is readable; a null in `primary` counts as not primary. The baselines are one row a grid, joined on its key."""
-    marked = rows.withColumn("_p", F.coalesce(primary, F.lit(False)))
-    base = marked.filter("_p").groupBy(grid).agg(F.min(cost).alias("_base")).filter("_base > 0")
-    cheaper = marked.filter(~F.col("_p")).join(base, grid).filter(F.col(cost) < F.col("_base"))
+    cost isn't positive, or none is readable; a null in `primary` counts as not primary. One scan and one shuffle, on the grid."""
+    base = F.min(F.when(F.coalesce(primary, F.lit(False)), F.col(cost))).over(W.partitionBy(grid))
+    cheaper = rows.withColumn("_p", F.coalesce(primary, F.lit(False))).withColumn("_base", base).filter(~F.col("_p") & (F.col("_base") > 0) & (F.col(cost) < F.col("_base")))
     percent = (F.col("_base") - F.col(cost)).cast("double") / F.col("_base").cast("double") * 100
     return cheaper.select(grid, row, F.round(percent, 6).alias("savings_percent"), F.when(percent >= threshold, "AboveThreshold").otherwise("BelowThreshold").alias("tier"))
 

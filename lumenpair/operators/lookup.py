@@ -24,11 +24,13 @@ def tokens(column: str) -> Column:
 
 
 def elided(misses: DataFrame, name: str, dimension: DataFrame, key: str, least: int = 8) -> DataFrame:
-    """misses joined to the one key that is the name and one more letter at its end. Two such keys are ambiguous, which is null; so is a name of
-    fewer than `least` characters. No row is dropped."""
-    keys = dimension.select(F.col(key).alias("_k")).distinct().filter(F.col("_k").rlike("[a-z]$")).withColumn("_short", F.expr("left(_k, length(_k) - 1)"))
-    one = keys.groupBy("_short").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("resolved")).filter("_n = 1").drop("_n")
-    return misses.join(one.filter(F.length("_short") >= least), F.lower(F.trim(F.col(name))) == F.col("_short"), "left").drop("_short")
+    """misses joined to the one key that is the name but for a letter more at the end of its first word. Two such keys are ambiguous, which is null; so is a first word of
+    fewer than `least` letters. No row is dropped."""
+    first = lambda c: F.substring_index(c, " ", 1)
+    keys = dimension.select(F.col(key).alias("_k")).distinct().filter(first("_k").rlike("[a-z]$"))
+    short = F.expr("concat(substring(_k, 1, length(substring_index(_k, ' ', 1)) - 1), substring(_k, length(substring_index(_k, ' ', 1)) + 1))")
+    one = keys.withColumn("_short", short).groupBy("_short").agg(F.count(F.lit(1)).alias("_n"), F.max("_k").alias("resolved")).filter("_n = 1").drop("_n")
+    return misses.join(one.filter(F.length(first("_short")) >= least), F.lower(F.trim(F.col(name))) == F.col("_short"), "left").drop("_short")
 
 
 def value_sets(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -50,3 +52,18 @@ def unambiguous(rows: DataFrame, key: str, value: str) -> DataFrame:
 def inverted(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, values): all values of a key in their order, each once."""
     return rows.select(key, value).na.drop().distinct().groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def near_names(names: DataFrame, name: str, most: int) -> DataFrame:
+    """(a, b, distance), a < b, of every two distinct names within an edit distance of `most`. Of most + 1 pieces of a name one is whole in any such other, at most `most` places
+    off; so pieces are joined by equality, and only what shares one is compared. A name shorter than its number of pieces has empty ones, which all names hold."""
+    words = names.select(F.col(name).alias("w")).na.drop().distinct()
+    n, k = F.length("w"), most + 1
+    cut = lambda i: F.floor(n * i / k).cast("int")
+    pieces = F.array(*[F.struct(cut(i).alias("at"), F.substring("w", cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")) for i in range(k)])
+    own = words.select(F.col("w").alias("a"), F.explode(pieces).alias("p")).select("a", "p.at", "p.piece")
+    lengths = F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(n - most, F.lit(0)), n + most), lambda m: F.array(F.floor(m / k).cast("int"), F.ceil(m / k).cast("int")))))
+    parts = F.flatten(F.transform(lengths, lambda m: F.transform(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), lambda i: F.struct(i.cast("int").alias("off"), F.substring(F.col("w"), (i + 1).cast("int"), m).alias("piece")))))
+    other = words.select(F.col("w").alias("b"), F.explode(parts).alias("p")).select("b", "p.off", "p.piece")
+    pairs = own.join(other, "piece").filter((F.abs(F.col("at") - F.col("off")) <= most) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= most)

@@ -52,23 +52,23 @@ def step(shown: str, pending: str, streak: int, new: str, need: int = 2) -> tupl
 
 
 def debounce(rows: DataFrame, key: str, order: list[str], signal: str, tick: str) -> DataFrame:
-    """(key, tick, decision, shown) of each tick. A key's ticks are a fold, in the JVM: an array of a key's signals is the only state, and a null signal is
-    an empty one."""
-    ticks = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(tick).alias("_t"), F.coalesce(F.col(signal), F.lit("")).alias("_s")))).alias("_all"))
-    state = "struct<shown:string,pending:string,streak:int,out:array<struct<t:bigint,decision:string,shown:string>>>"
-    zero = F.from_json(F.lit('{"shown":"","pending":"","streak":0,"out":[]}'), state)
-
-    def fold(a: Column, x: Column) -> Column:
-        new = x["_s"]
-        streak = F.when((new == a["pending"]) & (a["streak"] > 0), a["streak"] + 1).otherwise(1)
-        settled = (new == a["shown"]) | (a["shown"] == "") | (streak >= 2)
-        shown = F.when(settled, new).otherwise(a["shown"])
-        decision = F.when(~settled, "Processing").when(new == "", "Clear").otherwise("Display")
-        row = F.struct(x["_t"].cast("long").alias("t"), decision.alias("decision"), shown.alias("shown"))
-        return F.struct(shown.alias("shown"), F.when(settled, "").otherwise(new).alias("pending"), F.when(settled, 0).otherwise(streak).alias("streak"), F.concat(a["out"], F.array(row)).alias("out")).cast(state)
-
-    done = ticks.select(key, F.explode(F.aggregate("_all", zero, fold)["out"]).alias("_o"))
-    return done.select(key, F.col("_o.t").alias(tick), F.col("_o.decision").alias("decision"), F.col("_o.shown").alias("shown"))
+    """(key, tick, decision, shown) of each tick; a null signal is an empty one. Ticks stream through a task in their order, and only the state of the key at hand is kept."""
+    import pandas as pd
+
+    def run(batches):
+        at, shown, pending, streak = None, "", "", 0
+        for batch in batches:
+            out = []
+            for k, t, new in zip(batch[key].tolist(), batch["_t"].tolist(), batch["_s"].tolist()):
+                if k != at:
+                    at, shown, pending, streak = k, "", "", 0
+                decision, shown, pending, streak = step(shown, pending, streak, new)
+                out.append((k, t, decision, shown))
+            yield pd.DataFrame(out, columns=[key, tick, "decision", "shown"])
+
+    ticks = rows.select(key, *order, F.col(tick).alias("_t"), F.coalesce(F.col(signal), F.lit("")).alias("_s")).repartition(key).sortWithinPartitions(key, *order, "_t")
+    types = dict(rows.dtypes)
+    return ticks.select(key, "_t", "_s").mapInPandas(run, f"{key} {types[key]}, {tick} {types[tick]}, decision string, shown string")
 
 
 def in_interval(points: DataFrame, intervals: DataFrame, key: str, x: str, lo: str, hi: str) -> DataFrame:

@@ -34,3 +34,31 @@ def leaks_fragment(value: Column, text: Column, n: int = 5) -> Column:
     v = norm(value)
     grams = F.when(F.length(v) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(v) - n + 1, F.lit(1))), lambda i: F.substring(v, i, n)))
     return F.coalesce(F.exists(grams, lambda g: norm(text).contains(g)), F.lit(False))
+
+
+WORDS = "array<struct<text:string,x:double,y:double,w:double,h:double>>"
+
+
+def parsed(lines: DataFrame, line: str, record: str) -> DataFrame:
+    """lines with id, entered, source, ocr, skip and error of their JSON; what a line doesn't have is null, and one with an error has nothing."""
+    request = F.when(request_error(F.col(line)).isNull(), F.from_json(F.col(line), f"id string, entered {record}, source {record}, ocr {WORDS}, skipDrugLookup boolean"))
+    out = lines.withColumn("_r", request).withColumn("error", request_error(F.col(line)))
+    return out.select(*[c for c in lines.columns if c != line], F.get_json_object(line, "$.id").alias("id"), "_r.entered", "_r.source", "_r.ocr", F.coalesce("_r.skipDrugLookup", F.lit(False)).alias("skip"), "error")
+
+
+def document(spark, path: str, schema: str) -> DataFrame:
+    """One JSON document of any number of lines, as a row."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and read again: what has an effect must not run twice. Written to spark.checkpoint.dir, which all executors share."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumenpair"))
+    return df.checkpoint()
