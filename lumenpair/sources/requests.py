@@ -10,7 +10,7 @@ def request_error(line: Column) -> Column:
     """Why a request line can't be served: invalid JSON, no entered side, or neither a source nor words. Null where it can; blank lines are null too."""
     entered, source, words = (F.get_json_object(line, f"$.{k}") for k in ("entered", "source", "ocr"))
     is_object = F.try_parse_json(line).isNotNull() & F.trim(line).startswith("{")
-    return F.when(F.trim(line) == "", None).when(~is_object, "invalid_json").when(entered.isNull(), "missing_entered").when(source.isNull() & words.isNull(), "missing_source")
+    return F.when(F.coalesce(F.trim(line), F.lit("")) == "", None).when(~is_object, "invalid_json").when(entered.isNull(), "missing_entered").when(source.isNull() & words.isNull(), "missing_source")
 
 
 def latest_link(pages: DataFrame, key: str, html: str, pattern: str) -> DataFrame:
