@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenpair.functions import scalars as S
+from lumenpair.functions import vocabulary as V
 from lumenpair.operators import fields, verdicts
 from lumenpair.plans.tables import BIRTH_DATES, CODES, CONTACTS, LINE_QUANTITIES, NAMES, ORDER_DATES, derived, select
 
@@ -103,8 +104,48 @@ _DAW = "CASE WHEN not_allowed IS NULL THEN 'yellow:not_provided' WHEN NOT not_al
 _CUSTOMER = f"({select('customer', CONTACTS)})"
 _LONG = " UNION ALL ".join(f"SELECT c_custkey, '{c}' AS category, split_part({x}, ':', 1) AS status FROM {_CUSTOMER}" for c, x in (("Rx", _REFILLS), ("Prescriber", _NPI), ("Prescriber", _PHONE), ("Rx", _DAW)))
 
+_NICK = ", ".join("('" + g.partition(":")[0].strip() + "', '" + w + "')" for g in "".join(V.NICKNAMES).split(";") for w in g.replace(":", " ").split())
+_SUFFIX = "' (jr|sr|ii|iii|iv|v)$'"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+def _read(x: str, k: str) -> str:
+    """The columns f, l, m, s (first, last, middle words, suffix) of a name, with k behind each."""
+    n = f"regexp_replace(trim(regexp_replace(lower({x}), '[.'']', '', 'g')), '\\s+', ' ', 'g')"
+    bare = lambda i: f"regexp_replace(trim(split_part({n}, ',', {i})), '^((dr|mr|mrs|ms|prof) )+', '')"
+    body = lambda i: f"regexp_replace({bare(i)}, {_SUFFIX}, '')"
+    suffix = lambda i: f"nullif(regexp_extract({bare(i)}, {_SUFFIX}, 1), '')"
+    first = lambda i: f"split_part({body(i)}, ' ', 1)"
+    rest = lambda i: f"substr({body(i)}, length({first(i)}) + 2)"
+    dash = lambda v: f"trim(replace({v}, '-', ' '))"
+    two = f"contains({n}, ',')"
+    return (
+        f"CASE WHEN {two} THEN {dash(first(2))} ELSE {dash(first(1))} END AS f{k}, CASE WHEN {two} THEN {dash(body(1))} ELSE {dash(rest(1))} END AS l{k}, "
+        f"CASE WHEN {two} THEN {_words(rest(2))} ELSE [] END AS m{k}, CASE WHEN {two} THEN coalesce({suffix(1)}, {suffix(2)}) ELSE {suffix(1)} END AS s{k}"
+    )
+
+
+def _bag(k: str) -> str:
+    return f"list_sort(list_filter(list_concat([f{k}], m{k}, {_words('l' + k)}), lambda w: w <> ''))"
+
+
+def _tail(x: str, y: str) -> str:
+    return f"(len({x}) < len({y}) AND len({x}) > 0 AND {y}[len({y}) - len({x}) + 1:] = {x})"
+
+
+_NAMES = f"""WITH G AS (SELECT * FROM (VALUES {_NICK}) t(c, w)), P AS (SELECT *, {_read('src', 'a')}, {_read('ent', 'b')} FROM ({select('customer', NAMES)})),
+    Q AS (SELECT *, {_words('la')} AS wa, {_words('lb')} AS wb, trim(fa || ' ' || la) <> '' AND (trim(fa || ' ' || la) = trim(fb || ' ' || lb) OR {_bag('a')} = {_bag('b')}) AS same, la <> '' AND replace(la, ' ', '') = replace(lb, ' ', '') AS exact,
+      fa = fb OR EXISTS (SELECT 1 FROM G x JOIN G y ON x.c = y.c WHERE x.w = fa AND y.w = fb) AS nick, list_has_any({_words('fa')}, {_words('fb')}) AS part, length(fa) >= 3 AND length(fb) >= 3 AND (starts_with(fa, fb) OR starts_with(fb, fa)) AS fuzzy, (sa IS NULL) <> (sb IS NULL) AS one, coalesce(sa <> sb, FALSE) AS two FROM P)
+    SELECT c_custkey, {_BOTH} FROM (SELECT *, CASE WHEN coalesce(trim(src), '') = '' OR coalesce(trim(ent), '') = '' THEN 'yellow:not_provided' WHEN same AND two THEN 'red:suffix_mismatch' WHEN same AND one THEN 'yellow:suffix_dropped' WHEN same THEN 'green:exact_match'
+      WHEN NOT exact AND NOT list_has_any(wa, wb) THEN 'red:surname_mismatch' WHEN NOT nick AND NOT part AND NOT fuzzy THEN 'red:first_name_mismatch' WHEN two THEN 'red:suffix_mismatch' WHEN NOT exact AND ({_tail('wa', 'wb')} OR {_tail('wb', 'wa')}) THEN 'yellow:middle_name_present'
+      WHEN NOT exact THEN 'yellow:surname_partial' WHEN NOT nick AND part THEN 'yellow:given_name_partial' WHEN one THEN 'yellow:suffix_dropped' WHEN fa <> fb THEN 'yellow:nickname_match' ELSE 'green:exact_match' END AS w FROM Q)"""
+
 QUERIES = {f.__name__: f for f in (c1_names, c2_dates, d2_birth_dates, c3_written_or_available, d1_parse_date, c6_quantity, c7_refills, c9_npi, c10_phone, c12_substitution, k1_ndc, a1_summary, a3_categories)}
 SQL = {
+    "c1_names": _NAMES,
     "d1_parse_date": f"SELECT o_orderkey, b AS iso FROM ({_DATES})",
     "d2_birth_dates": f"""SELECT o_orderkey, CASE WHEN length(split_part(born, '/', 3)) = 4 THEN strftime(strptime(born, '%m/%d/%Y'), '%Y-%m-%d')
         ELSE strftime(make_date(CASE WHEN yy <= 26 THEN 2000 + yy WHEN yy <= 49 THEN 1900 + yy ELSE 1900 + yy END, CAST(split_part(born, '/', 1) AS INT), CAST(split_part(born, '/', 2) AS INT)), '%Y-%m-%d') END AS iso
