@@ -20,7 +20,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class Encoder(dict):
-    """Stretch of text -> its token ids. It remembers up to `keep` stretches, which bounds a worker's memory; results don't depend on it."""
+    """Stretch of text -> its token ids. It remembers twice `keep` stretches at most, which bounds a worker's memory; results don't depend on it. Each stretch is decoded when it is first
+    met; those that don't give their text again are in `lossy`."""
 
     def __init__(self, path: str = VOCABULARY, keep: int = 200_000):
         import regex
@@ -31,41 +32,70 @@ class Encoder(dict):
         self.text = {v: k for k, v in self.rank.items()}
         self.find = regex.compile(PATTERN).findall
         self.keep = keep
+        self.old, self.lossy = {}, set()
 
     def merge(self, data: bytes) -> tuple[int, ...]:
-        """Merges the adjacent pair of least rank, leftmost first, until no pair is in the vocabulary. The symbols are a doubly linked list; the
-        queue holds (rank, place, left symbol, right symbol), and an entry is stale when either symbol has changed since."""
-        rank, n = self.rank, len(data)
-        if data in rank:
-            return (rank[data],)
-        sym: list = [data[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank.get(sym[i] + sym[i + 1])) is not None]
+        """Merges the adjacent pair of least rank, leftmost first, until no pair is in the vocabulary. Symbols are a doubly linked list of the places where they begin; the
+        queue holds rank and place as one number, and an entry is stale when the pair that now begins at the place has another rank."""
+        get, n = self.rank.get, len(data)
+        if (whole := get(data)) is not None:
+            return (whole,)
+        after, before, now = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        queue = []
+        for i in range(n - 1):
+            if (r := get(data[i : i + 2])) is not None:
+                now[i] = r
+                queue.append(r * n + i)
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, a, b = heapq.heappop(queue)
-            if sym[i] is not a or (j := after[i]) >= n or sym[j] is not b:
+            r, i = divmod(pop(queue), n)
+            if now[i] != r:
                 continue
-            sym[i], sym[j] = a + b, None
+            j = after[i]
+            now[i] = now[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get(sym[i] + sym[k])) is not None:
-                    heapq.heappush(queue, (r, i, sym[i], sym[k]))
-            if (h := before[i]) >= 0 and (r := rank.get(sym[h] + sym[i])) is not None:
-                heapq.heappush(queue, (r, h, sym[h], sym[i]))
-        return tuple(rank[s] for s in sym if s is not None)
+                if (r := get(data[i : after[k]])) is not None:
+                    now[i] = r
+                    push(queue, r * n + i)
+            if (h := before[i]) >= 0:
+                if (r := get(data[h:k])) is not None:
+                    now[h] = r
+                    push(queue, r * n + h)
+                else:
+                    now[h] = -1
+        ids, i = [], 0
+        while i < n:
+            ids.append(self.rank[data[i : after[i]]])
+            i = after[i]
+        return tuple(ids)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.keep:
-            self.clear()
-        ids = self.merge(word.encode("utf-8", "replace"))
+        ids = self.old.get(word)
+        if ids is None:
+            data = word.encode("utf-8", "replace")
+            ids = self.merge(data)
+            if b"".join(map(self.text.__getitem__, ids)) != word.encode("utf-8", "surrogatepass"):
+                self.lossy.add(word)
         if len(word) <= 64:
+            if len(self) >= self.keep:  # what wasn't met since the last time goes
+                self.old = dict(self)
+                self.clear()
             self[word] = ids
         return ids
 
+    def ids(self, text: str):
+        """The token ids of a text, one by one."""
+        return chain.from_iterable(map(self.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
+        return list(self.ids(text))
+
+    def gives_again(self, text: str, ids) -> bool:
+        """Whether decoding gives the text again: so it does where every stretch is known to; else the ids are decoded."""
+        return not self.lossy or self.decode(ids) == text
 
     def decode(self, ids) -> str:
         """The vocabulary's strings joined. Bytes that are no UTF-8 become U+FFFD."""
@@ -81,11 +111,10 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, check: bool = True) ->
     """(doc_id, token_ids, n_tokens, round_trip) for each row of docs(doc_id, text, ...), repeated rows and rows without doc_id included.
 
     A null text has null token_ids, n_tokens and round_trip; an empty one has no tokens. Text of any length is encoded whole. round_trip says
-    whether decoding the ids gives the text again (null without check). Other columns are ignored. The stage has no shuffle."""
+    whether decoding the ids gives the text again (null without check): every stretch is decoded once, and texts with one that doesn't give itself again are decoded whole. Other columns are ignored. The stage has no shuffle."""
 
     def run(batches):
         e = encoder(vocabulary)
-        get, find, text_of = e.__getitem__, e.find, e.text.__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -94,9 +123,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, check: bool = True) ->
                     none.append(text is None)
                     at = len(flat)
                     if text:
-                        flat.extend(chain.from_iterable(map(get, find(text))))
+                        flat.extend(e.ids(text))
                     ends.append(len(flat))
-                    same.append(None if text is None or not check else b"".join(map(text_of, flat[at:])) == text.encode("utf-8", "replace"))
+                    same.append(None if text is None or not check else e.gives_again(text, flat[at:]))
                 off = pa.array(ends[:-1] + [ends[-1]], pa.int32(), mask=np.array(none + [False]))
                 ids = pa.ListArray.from_arrays(off, pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
                 n = pa.array(np.diff(ends), pa.int32(), mask=np.array(none))
