@@ -9,9 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenpair.llm._spark import table
 
 BITS, SIZES = 15, (3, 4, 5)
-#: The small labelled URL table: words of hosts that a corpus does without, and of hosts that it wants, combined by labelled_urls().
+#: The small labelled URL table, combined by labelled_urls(): words of hosts and paths that a corpus does without, and that it wants; and addresses of well-known sites of both kinds.
 UNWANTED = "casino-royal lucky-casino bets-online sportsbets bet-now poker-king slots-jackpot win-prize winner-bonus pills-shop viagra-pills diet-pills pharma-cheap cheap-watches cheap-meds adult-video adult-chat xxx-cams porn-tube sex-dating hot-cams spam-mail mega-spam link-farm content-farm seo-links ads-server ad-click track-pixel click-tracker free-iphone free-coins free-spins payday-loan crack-keygen warez-club torrent-crack replica-store".split()
-WANTED = "news library science weather garden history museum school travel recipes council journal archive theatre forum docs market sports music health energy bank river mountain thesis ontario anderson thornton reading shire heather winter therapy breathe another weathering nature station education mathematics hearth northern theory ethics rhythm thread anthology tradition nation inland wheat".split()
+WANTED = "news library science weather garden history museum school travel recipes council journal archive theatre forum docs market sports music health energy bank river mountain physics biology chemistry cooking astronomy economics poetry cinema football cycling hiking photography architecture painting philosophy geography climate ocean forest wildlife parenting software databases university hospital parliament railway village".split()
+KNOWN_UNWANTED = (
+    "www.bet365.com/casino www.pokerstars.com/poker/tournaments www.888casino.com/promotions 1xbet.com/en/slots www.betfair.com/sport/football-betting www.williamhill.com/vegas www.ladbrokes.com/bonus www.partypoker.com/welcome-bonus stake.com/casino/slots www.bovada.lv/sports "
+    "www.draftkings.com/odds/picks www.pornhub.com/video xhamster.com/categories www.xvideos.com/tags www.redtube.com/top chaturbate.com/female-cams onlyfans.com/live stripchat.com/girls www.adultfriendfinder.com/sex-dating www.ashleymadison.com/affair "
+    "www.doubleclick.net/click?id=1 ad.360yield.com/pixel adservice.google.com/ddm www.taboola.com/sponsored www.outbrain.com/widget c.statcounter.com/track pixel.quantserve.com/pixel thepiratebay.org/torrent/crack 1337x.to/search/keygen www.skidrowreloaded.com/cracked-games "
+    "cheap-viagra-online.biz/order buy-cialis-now.ru/pills weight-loss-miracle.info/free-trial earn-money-fast.club/sign-up replica-rolex-watches.cn/sale instant-payday-loans.biz/apply free-robux-generator.xyz/claim win-iphone-today.top/prize hot-singles-near-you.date/chat lottery-winner-claim.online/bonus"
+).split()
+KNOWN_WANTED = (
+    "en.wikipedia.org/wiki/Photosynthesis de.wikipedia.org/wiki/Goethe fr.wikipedia.org/wiki/Paris es.wikipedia.org/wiki/Madrid www.britannica.com/biography/Ada-Lovelace arxiv.org/abs/1706.03762 docs.python.org/3/library/re.html www.gutenberg.org/ebooks/1342 plato.stanford.edu/entries/kant www.nature.com/articles/d41586 "
+    "www.bbc.co.uk/news/science-environment www.theguardian.com/books/reviews www.lemonde.fr/planete www.spiegel.de/wissenschaft elpais.com/cultura www.nytimes.com/section/health www.reuters.com/world/europe apnews.com/hub/climate www.npr.org/sections/education www.smithsonianmag.com/history "
+    "www.nasa.gov/missions www.noaa.gov/weather www.who.int/health-topics www.cdc.gov/flu www.gov.uk/register-to-vote www.loc.gov/collections www.europarl.europa.eu/news www.mit.edu/research www.ox.ac.uk/admissions www.uni-heidelberg.de/de/studium "
+    "stackoverflow.com/questions/tagged/sql github.com/apache/spark developer.mozilla.org/en-US/docs/Web spark.apache.org/docs/latest www.postgresql.org/docs/current www.rust-lang.org/learn www.seriouseats.com/recipes www.lonelyplanet.com/italy www.imdb.com/title/tt0111161 www.openstreetmap.org/about"
+).split()
 
 
 #: Hosts that tell nothing: they come with either label, with words of either kind in the path.
@@ -20,9 +32,9 @@ LANGUAGES = ("en", "fr", "de", "es")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """Words of either kind as hosts, with paths that don't tell; then the same words in paths, on hosts that don't. Each shape and language of a
+    """Well-known addresses of both kinds; words of either kind as hosts, with paths that don't tell; then the same words in paths, on hosts that don't. Each shape and language of a
     path, sub-domain, ending and neutral host comes with both labels alike."""
-    out = []
+    out = [(f"https://{u}", y) for pair in zip(KNOWN_UNWANTED, KNOWN_WANTED) for u, y in zip(pair, (1, 0))]
     shapes = ("/{w}", "/{l}/{w}", "/{w}/{n}", "/{l}/{w}/index.html", "/page/{w}-{n}", "/{n}/{w}.html", "/{l}/{n}/{w}?ref=x", "/{a}/{b}")
     for label, stems in ((1, UNWANTED), (0, WANTED)):
         for k in range(max(len(UNWANTED), len(WANTED))):  # as many rows of either label

@@ -217,6 +217,39 @@ def test_phrase_dedup(docs, spark, empty):
     assert phrase_dedup.spans(empty).count() == 0
 
 
+def test_phrases_against_brute_force(spark):
+    r, least = random.Random(21), phrase_dedup.MIN_CHARS
+    texts = {k: prose(r.randint(20, 120), 7000 + k) for k in range(30)}
+    planted = []
+    for k in range(12):
+        passage = prose(r.randint(45, 140), 7100 + k)
+        for d in sorted(r.sample(range(30), 3)):
+            cut = r.randint(0, len(texts[d]))
+            texts[d] = texts[d][:cut] + passage + texts[d][cut:]
+        planted.append(passage)
+    texts[30] = texts[3] + " " + texts[3]
+    got = phrase_dedup.spans(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()
+    assert len(got) == len({(x.doc_id, x.start_char) for x in got}) > 20
+    seen: dict = {}
+    for d in sorted(texts):
+        for i in range(len(texts[d]) - least + 1):
+            seen.setdefault(texts[d][i : i + least], (d, i))
+    for x in got:  # every character of a span is within a stretch that came earlier
+        t = texts[x.doc_id]
+        again = [i for i in range(x.start_char, x.end_char - least + 1) if seen[t[i : i + least]] < (x.doc_id, i)]
+        covered = {c for i in again for c in range(i, i + least)}
+        assert covered >= set(range(x.start_char, x.end_char)) and x.first_doc_id <= x.doc_id
+    marked = {d: set() for d in texts}
+    for x in got:
+        marked[x.doc_id] |= set(range(x.start_char, x.end_char))
+    slack = 2 * (phrase_dedup.WINDOW + phrase_dedup.ROLL)
+    for passage in planted:
+        where = [(d, t.index(passage)) for d, t in sorted(texts.items()) if passage in t]
+        for d, i in where[1:]:
+            if len(passage) >= least + slack:
+                assert len(marked[d] & set(range(i, i + len(passage)))) >= len(passage) - slack
+
+
 def plain_score(a, b):
     best, prev = 0, [0] * (len(b) + 1)
     for x in a:
@@ -309,6 +342,11 @@ def test_bpe(docs, empty):
     e = bpe.encoder(bpe.VOCABULARY)
     for _, t in TEXTS:
         assert t is None or (e.encode(t) == theirs.encode_ordinary(t) and e.decode(e.encode(t)) == t)
+    r = random.Random(44)
+    for _ in range(3000):  # spaces of all kinds beside words, marks and digits
+        t = "".join(r.choice(["a", "Bc", "'s", "12", "é", "\u3000", ".", "!?", " ", "  ", "   ", "\n", "\t", "\u00a0", "\x1c", "\r\n", "'"]) for _ in range(r.randint(0, 9)))
+        assert e.encode(t) == theirs.encode_ordinary(t) and e.decode(e.encode(t)) == t, repr(t)
+    assert not e.lossy
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs.filter("doc_id IN (4, 6, 7)"))).collect()}
     assert back == {4: TEXTS[4][1], 6: "", 7: None} and bpe.encode(empty).count() == 0
 
@@ -346,6 +384,26 @@ def test_urls(spark):
     assert [r.score for r in got if r.page_id is None] == [None]
 
 
+def test_known_addresses_held_out():
+    import numpy as np
+
+    known = [(f"https://{u}", y) for us, y in ((url_filter.KNOWN_UNWANTED, 1), (url_filter.KNOWN_WANTED, 0)) for u in us]
+    rest, right = [x for x in url_filter.labelled_urls() if x not in set(known)], 0
+    for fold in range(4):
+        held = known[fold::4]
+        w, bias = url_filter.train(rest + [x for k, x in enumerate(known) if k % 4 != fold])
+        right += int(((url_filter.logits(w, bias, *url_filter.features([u for u, _ in held])) >= 0) == np.array([y for _, y in held], bool)).sum())
+    assert right >= 0.8 * len(known)
+
+
+def test_urls_of_hard_rows(spark):
+    schema = "page_id long, url string, score string, unwanted int, URL_ string"
+    rows = [(1, "http://casino-royal.example.com/", "x", 1, "y"), (1, "http://casino-royal.example.com/", "x", 1, "y"), (None, "HTTP://UPPER.example.org/Ü?q#f", None, None, None), (2, None, None, None, None), (3, "", None, None, None)]
+    got = url_filter.score(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 5 and [r.unwanted for r in got if r.page_id == 1] == [True, True] and [r.score for r in got if r.page_id == 2] == [None]
+    assert url_filter.score(spark.createDataFrame([], schema)).count() == 0 and url_filter.score(spark.createDataFrame(rows, schema), []).filter("score <> 0.5").count() == 0
+
+
 def test_urls_that_only_their_path_marks(spark):
     bad = ["/casino/free-spins", "/de/casino-royal/44", "/fr/payday-loan.html", "/torrent/crack", "/en/news/poker-king.html"]
     good = ["/science/museum", "/fr/weather-news", "/recipes/12", "/fr/2931", "/de/12", "/en/7", "/es/41?page=2", "/page/9", "/4/index.html"]
