@@ -20,6 +20,8 @@ MAX_FIT_DOCS = 3000
 EVIDENCE, PAIR_EVIDENCE = 6.5, 25.0
 #: Of a word's class counts this share backs off.
 BACKOFF = 0.7
+#: Texts that are counted at once on the driver.
+BLOCK = 250
 #: A false alarm weighs as much as so many toxic documents missed, when the threshold is chosen.
 FALSE_ALARM = 10
 
@@ -91,37 +93,50 @@ def by_document(what: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int) ->
 
 
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    """Pair and word counts of both classes. Texts or a class may be missing: then every pair is left to the backoff. A text counts once, however often it comes."""
+    """Pair and word counts of both classes. Texts or a class may be missing: then every pair is left to the backoff. A text counts once, however often it comes. The texts are
+    gone through BLOCK at a time, thrice, so memory holds their counts and not their words."""
     first = {}
     for t, y in zip(texts, toxic):
         first.setdefault((t or "", int(y)), None)
     known = list(first)
-    distinct, index, off = text.words(pa.array([t for t, _ in known], pa.large_string()))
-    h = text.word_hashes(distinct)
-    vocab = np.unique(h)
+    vocab = np.zeros(0, np.uint64)
+    for block in blocks_of(known):
+        vocab = np.union1d(vocab, text.hashed(pa.array([t for t, _ in block], pa.large_string()))[0])
     size = len(vocab) + 1
     model = Model(vocab, np.zeros(0, np.int64), np.zeros((2, 0)), np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, size)), np.ones(2))
-    if not len(index):
+    if not len(vocab):
         return model
-    ids = (np.searchsorted(vocab, h) + 1)[index]
-    doc, y = np.repeat(np.arange(len(known)), np.diff(off)), np.array([c for _, c in known])
-    words = by_document(ids, doc, y, size)
+
+    def each():
+        for block in blocks_of(known):
+            ids, off = model.ids(pa.array([t for t, _ in block], pa.large_string()))
+            yield ids, model.pairs(ids, off)[1], np.repeat(np.arange(len(block)), np.diff(off)), np.array([c for _, c in block])
+
+    words = np.zeros((2, size))
+    for ids, key, doc, y in each():
+        words += by_document(ids, doc, y, size)
+        model.keys = np.union1d(model.keys, key)
     total, own = words.sum(axis=0), weighed(words, EVIDENCE)
     for c in (0, 1):
         if own[c].sum():
             model.single[c] = own[c] * (1 - BACKOFF / np.maximum(total, 1)) / own[c].sum()
             model.spare[c] = 1 - model.single[c].sum()
-    model.keys, place = np.unique(model.pairs(ids, off)[1], return_inverse=True)
-    pairs = by_document(place, doc, y, len(model.keys))
+    pairs = np.zeros((2, len(model.keys)))
+    for _, key, doc, y in each():
+        met, place = np.unique(key, return_inverse=True)
+        pairs[:, np.searchsorted(model.keys, met)] += by_document(place, doc, y, len(met))
     total, own = pairs.sum(axis=0), weighed(pairs, PAIR_EVIDENCE)
-    less = discount(total) * own / np.maximum(total, 1)
-    model.kept = (own - less).astype(np.float32)
+    model.kept = (own - discount(total) * own / np.maximum(total, 1)).astype(np.float32)
     for c in (0, 1):
         model.seen[c] = np.bincount(model.keys // size, own[c], size)
         model.rest[c] = model.seen[c] - np.bincount(model.keys // size, model.kept[c], size)
     return model
 
 
+def blocks_of(rows: list):
+    return (rows[k : k + BLOCK] for k in range(0, len(rows), BLOCK))
+
+
 def discount(counts: np.ndarray) -> float:
     once, twice = (counts == 1).sum(), (counts == 2).sum()
     return float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.95))
@@ -175,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_FIT_DOCS) -> M
     model = fit(got["text"][~held].tolist(), y[~held])
     left = continuations(docs, model)
     model.shared = (left + 0.5) / (left.sum() + 0.5 * len(left))
-    n, bad, good = model.score(pa.array(got["text"][held].tolist(), pa.large_string()))
+    parts = [model.score(pa.array(block, pa.large_string())) for block in blocks_of(got["text"][held].tolist())]
+    n, bad, good = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3))
     model.threshold = best_threshold((bad - good)[n > 0], y[held][n > 0])
     return model
 
