@@ -50,14 +50,23 @@ def parse_date(c: Column, past_only: bool = False, this_year: int = 2026) -> Col
     return F.date_format(date, "yyyy-MM-dd")
 
 
-def number(c: Column) -> Column:
-    """A finite number in decimal, with any exponent, or in hexadecimal, octal or binary; blank text is zero, as its comparators take it; null for other text."""
+def any_number(c: Column) -> Column:
+    """A number in decimal, with any exponent, or in hexadecimal, octal or binary; one too large is infinite. Blank text is zero, as its comparators take it; null for other text."""
     s = trimmed(c)
-    based = lambda mark, digits, base: (s.rlike(f"^0[{mark}][{digits}]+$"), F.conv(F.substring(s, 3, 99), base, 10).cast("double"))
+    based = lambda base: F.conv(F.substring(s, 3, 99), base, 10).cast("double")
     out = F.when(s == "", F.lit(0.0)).when(s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), s.try_cast("double"))
-    for of in (based("xX", "0-9a-fA-F", 16), based("oO", "0-7", 8), based("bB", "01", 2)):
-        out = out.when(*of)
-    return F.when(F.abs(out) < float("inf"), out)
+    return out.when(s.rlike("^0[xX][0-9a-fA-F]+$"), based(16)).when(s.rlike("^0[oO][0-7]+$"), based(8)).when(s.rlike("^0[bB][01]+$"), based(2))
+
+
+def no_number(n: Column) -> Column:
+    """Whether any_number() gave none that is finite."""
+    return n.isNull() | (F.abs(n) == float("inf"))
+
+
+def number(c: Column) -> Column:
+    """any_number(), where it is finite."""
+    n = any_number(c)
+    return F.when(F.abs(n) < float("inf"), n)
 
 
 def wholeish(x: Column) -> Column:

@@ -70,7 +70,7 @@ def written_or_available(written: Column, available: Column, ent: Column) -> Com
 def quantity(src: Column, src_unit: Column, ent: Column, ent_unit: Column, per_day: Column) -> Comparison:
     """per_day: units taken in a day by the entered directions, null where they don't say. Two quantities that last a whole number of days each, one of them a
     multiple of the other, are an adjustment."""
-    parts = {"missing": nothing(src) | nothing(ent), "a": S.number(src), "b": S.number(ent), "ua": S.unit(src_unit), "ub": S.unit(ent_unit), "day": F.when(per_day > 0, per_day)}
+    parts = {"missing": nothing(src) | nothing(ent), "a": S.any_number(src), "b": S.any_number(ent), "ua": S.unit(src_unit), "ub": S.unit(ent_unit), "day": F.when(per_day > 0, per_day)}
 
     def rungs(p):
         missing, a, b, ua, ub, day = map(p, parts)
@@ -80,7 +80,7 @@ def quantity(src: Column, src_unit: Column, ent: Column, ent_unit: Column, per_d
         ratio = F.greatest(whole(a), whole(b)) / F.nullif(F.least(whole(a), whole(b)), F.lit(0))
         return ladder(
             (missing, "yellow", "not_provided"),
-            (a.isNull() | b.isNull(), "yellow", "unparseable_quantity"),
+            (S.no_number(a) | S.no_number(b), "yellow", "unparseable_quantity"),
             ((a == b) & fits, "green", "exact_match"),
             (~fits, "red", "unit_mismatch"),
             (days(a) & days(b) & S.wholeish(ratio) & (ratio <= 6), "yellow", "quantity_adjusted"),
@@ -92,9 +92,14 @@ def quantity(src: Column, src_unit: Column, ent: Column, ent_unit: Column, per_d
 
 def refills(src: Column, ent: Column, total_fills: Column) -> Comparison:
     """total_fills: whether the source counts the first fill too."""
-    a = S.number(src)
-    parts = {"missing": nothing(src) | nothing(ent), "a": F.when(F.coalesce(total_fills, F.lit(False)), F.greatest(a - 1, F.when(a.isNotNull(), F.lit(0.0)))).otherwise(a), "b": S.number(ent)}
-    return Comparison(parts, lambda p: ladder((p("missing"), "yellow", "not_provided"), (p("a").isNull() | p("b").isNull(), "yellow", "unparseable_quantity"), (p("a") == p("b"), "green", "exact_match"), (True, "red", "refills_mismatch")))
+    parts = {"missing": nothing(src) | nothing(ent), "a": S.any_number(src), "b": S.any_number(ent), "all": F.coalesce(total_fills, F.lit(False))}
+
+    def rungs(p):
+        a, b = p("a"), p("b")
+        left = F.when(p("all"), F.greatest(a - 1, F.lit(0.0))).otherwise(a)
+        return ladder((p("missing"), "yellow", "not_provided"), (S.no_number(a) | S.no_number(b), "yellow", "unparseable_quantity"), (left == b, "green", "exact_match"), (True, "red", "refills_mismatch"))
+
+    return Comparison(parts, rungs)
 
 
 def npi(src: Column, ent: Column) -> Comparison:

@@ -142,26 +142,44 @@ def annotations(words: DataFrame, labels: tuple[str, str, str] = (SUPPLIER, COST
     supplier, cost, size = labels
     rows = table_rows(words)
     heads = header(header_candidates(rows, [supplier, cost]))
-    bands, lines = header_columns(rows, heads), body(rows, heads)
-    cell = lambda label, name: cells(lines, resolved(bands, label)).withColumnRenamed("cell", name)
-    table = cell(supplier, "supplier").join(cell(cost, "cost_text"), ["capture", "line"]).join(cell(size, "size_text"), ["capture", "line"], "left")
-    table = table.withColumn("cost", currency(c("cost_text"))).withColumn("primary", R.is_primary(c("supplier")))
-    return offers(table)
+    found = named_cells(body(rows, heads), header_columns(rows, heads), {"supplier": supplier, "cost_text": cost, "size_text": size})
+    table = found.filter("supplier IS NOT NULL AND cost_text IS NOT NULL")
+    return offers(table.withColumn("cost", currency(c("cost_text"))).withColumn("primary", R.is_primary(c("supplier"))))
+
+
+def named_cells(lines: DataFrame, bands: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """(capture, line, one column for each name): cells() of several columns at once. The cells of a column that a capture doesn't have are null."""
+    name = F.create_map(*[F.lit(x) for n, label in labels.items() for x in (" ".join(label.lower().split()), n)])
+    known = bands.withColumn("_name", F.try_element_at(name, plain_label(c("label")))).filter("_name IS NOT NULL")
+    first = known.groupBy("capture", "_name").agg(F.min(F.struct("column", "lo", "hi")).alias("_b")).groupBy("capture").agg(F.map_from_entries(F.collect_list(F.struct("_name", "_b"))).alias("_bands"))
+    middle = c("x") + c("w") / 2
+    band = lambda n: F.try_element_at("_bands", F.lit(n))
+    text = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((middle >= band(n)["lo"]) & (middle < band(n)["hi"]), F.struct("x", "word", trimmed(c("text")).alias("t"))))), lambda v: v["t"]), " ")
+    joined = lines.join(first, "capture")
+    return joined.groupBy("capture", "line").agg(*[F.when(F.max(band(n)["lo"]).isNotNull(), text(n)).alias(n) for n in labels])
 
 
 def offers(table: DataFrame) -> DataFrame:
-    """annotations() of table(capture, line, primary, cost, size_text)."""
-    base = table.filter("primary AND cost IS NOT NULL").groupBy("capture").agg(F.min(F.struct("cost", "line")).alias("_b")).filter("_b.cost > 0")
-    share = R.percent((c("_b.cost") - c("cost")).cast("double") / c("_b.cost").cast("double") * 100)
-    saves = table.filter(~c("primary")).join(base, "capture").filter(c("cost") < c("_b.cost"))
-    tier = F.when((c("_b.cost") - c("cost")) * 4 >= c("_b.cost"), "G").otherwise("Y")
-    one = saves.select("capture", "line", F.lit("savings").alias("kind"), F.concat(tier, F.lit(":"), share).alias("text"))
-    two = base.select("capture", "_b.line", F.lit("baseline").alias("kind"), F.lit("compared").alias("text"))
-    sized = table.filter(c("size_text").isNotNull())
-    best = grid.best_per_class(sized, "capture", "line", grid.package_class(package_quantity(c("size_text"))), "cost")
-    three = best.select("capture", "line", F.lit("best").alias("kind"), F.lower("class").alias("text"))
-    state = grid.sort_state(table, "capture", ["line"], "cost").filter("state <> 'Unknown'")
-    return one.unionByName(two).unionByName(three).unionByName(state.select("capture", F.lit(-1).alias("line"), F.lit("order").alias("kind"), c("state").alias("text")))
+    """annotations() of table(capture, line, primary, cost, size_text): windows over a capture's lines, so one shuffle."""
+    all_, before = W.partitionBy("capture"), W.partitionBy("capture").orderBy("line").rowsBetween(*BEFORE)
+    least = lambda cond: F.min(F.when(cond & c("cost").isNotNull(), F.struct("cost", "line"))).over(all_)
+    kind = F.when(c("size_text").isNotNull(), grid.package_class(package_quantity(c("size_text"))))
+    seen = table.withColumn("_kind", kind).withColumn("_last", F.last("cost", ignorenulls=True).over(before))
+    seen = seen.select(
+        "capture", "line", "primary", "cost", least(c("primary")).alias("_base"), *[least(c("_kind") == k).alias(f"_{k}") for k in ("Large", "Small")],
+        F.max((c("cost") < c("_last")).cast("int")).over(all_).alias("_down"), F.count("cost").over(all_).alias("_n"), F.min("line").over(all_).alias("_first"),
+    )
+    share = R.percent((c("_base.cost") - c("cost")).cast("double") / c("_base.cost").cast("double") * 100)
+    tier = F.when((c("_base.cost") - c("cost")) * 4 >= c("_base.cost"), "G").otherwise("Y")
+    note = lambda cond, line, name, text: F.when(cond, F.struct(line.cast("int").alias("line"), F.lit(name).alias("kind"), text.alias("text")))
+    at = lambda b: c("line") == c(f"{b}.line")
+    based = c("_base.cost") > 0
+    notes = F.array(
+        note(~c("primary") & based & (c("cost") < c("_base.cost")), c("line"), "savings", F.concat(tier, F.lit(":"), share)), note(based & at("_base"), c("line"), "baseline", F.lit("compared")),
+        note(at("_Large"), c("line"), "best", F.lit("large")), note(at("_Small"), c("line"), "best", F.lit("small")),
+        note((c("line") == c("_first")) & (c("_n") > 1), F.lit(-1), "order", F.when(c("_down") == 1, "NotSorted").otherwise("Sorted")),
+    )
+    return seen.select("capture", F.explode(F.array_compact(notes)).alias("_v")).select("capture", "_v.*")
 
 
 def signature(notes: DataFrame) -> DataFrame:

@@ -148,7 +148,7 @@ SQL = {
     "c1_names": _NAMES,
     "d1_parse_date": f"SELECT o_orderkey, b AS iso FROM ({_DATES})",
     "d2_birth_dates": f"""SELECT o_orderkey, CASE WHEN length(split_part(born, '/', 3)) = 4 THEN strftime(strptime(born, '%m/%d/%Y'), '%Y-%m-%d')
-        ELSE strftime(make_date(CASE WHEN yy <= 26 THEN 2000 + yy WHEN yy <= 49 THEN 1900 + yy ELSE 1900 + yy END, CAST(split_part(born, '/', 1) AS INT), CAST(split_part(born, '/', 2) AS INT)), '%Y-%m-%d') END AS iso
+        ELSE CAST(TRY_CAST(CAST(CASE WHEN yy <= 26 THEN 2000 + yy ELSE 1900 + yy END AS VARCHAR) || '-' || split_part(born, '/', 1) || '-' || split_part(born, '/', 2) AS DATE) AS VARCHAR) END AS iso
         FROM (SELECT *, CAST(split_part(born, '/', 3) AS INT) AS yy FROM ({select('orders', BIRTH_DATES)}))""",
     "c2_dates": f"SELECT o_orderkey, {_BOTH} FROM (SELECT *, {_W} AS w FROM ({_DATES}))",
     "c3_written_or_available": f"""SELECT o_orderkey, {_BOTH} FROM (SELECT *, CASE WHEN coalesce(trim(available), '') = '' THEN x WHEN y LIKE 'green%' THEN 'green:available_date_match'

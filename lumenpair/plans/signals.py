@@ -122,7 +122,7 @@ QUERIES = {q.__name__: q for q in (j19_child, j19_leaf, j20_descendant, s12_refi
 SQL = {
     "j19_child": f"WITH {_N} SELECT doc, arg_min(node, ordinal) AS node FROM N WHERE name = 'Body' AND parent = doc AND node < 1000 GROUP BY 1",
     "j19_leaf": f"WITH {_N} SELECT parent, nullif(trim(arg_min(substr(name, 8), ordinal)), '') AS value FROM N WHERE starts_with(name, 'Phone: ') GROUP BY 1",
-    "j20_descendant": f"WITH RECURSIVE {_N}, R AS (SELECT r_regionkey AS doc, r_regionkey AS cur, [0::BIGINT] AS path, '' AS name FROM region UNION ALL SELECT R.doc, N.node, list_append(path, CAST(N.ordinal AS BIGINT)), N.name FROM R JOIN N ON N.doc = R.doc AND N.parent = R.cur AND (N.node < 1000) = (len(path) = 1)) SELECT doc, arg_min(cur, path) AS node, arg_min(name, path) AS name FROM R WHERE starts_with(name, 'Total fills') GROUP BY 1",
+    "j20_descendant": f"WITH RECURSIVE {_N}, R AS (SELECT r_regionkey AS doc, r_regionkey AS cur, [0::BIGINT] AS path, '' AS name FROM region UNION ALL SELECT R.doc, N.node, list_append(path, CAST(N.ordinal AS BIGINT)), N.name FROM R JOIN N ON N.doc = R.doc AND N.parent = R.cur AND (N.node < 1000) = (len(path) = 1)) SELECT doc, CAST(arg_min(cur, path) AS BIGINT) AS node, arg_min(name, path) AS name FROM R WHERE starts_with(name, 'Total fills') GROUP BY 1",
     "s12_refills": f"""WITH {_N}, A AS (SELECT parent, arg_min(name, ordinal) FILTER (starts_with(name, 'Refills')) AS own, arg_min(name, ordinal) FILTER (starts_with(name, 'Total')) AS total FROM N WHERE node >= 1000 GROUP BY 1)
         SELECT parent, nullif(trim(CASE WHEN own IS NOT NULL THEN list_last(string_split(own, ': ')) ELSE split_part(list_last(string_split(total, ': ')), ' (', 1) END), '') AS value, CASE WHEN own IS NOT NULL THEN FALSE WHEN total IS NOT NULL THEN TRUE END AS from_total FROM A""",
     "z5_clicks": f"WITH {_C} SELECT event_id, click FROM C",
