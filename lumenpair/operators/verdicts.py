@@ -77,11 +77,11 @@ def assemble(pairs: DataFrame, verdicts: dict[str, Column], available: Column |
 
     def row(f: str) -> Column:
         parts = [F.lit(f).alias("field"), verdicts[f]["status"].alias("status"), verdicts[f]["reason_code"].alias("reason_code")]
-        if shown:
-            parts += [explanation(verdicts[f]["reason_code"], *shown[f]).alias("explanation"), shown[f][0].alias("source_value"), shown[f][1].alias("entered_value")]
-        return F.struct(*parts)
+        return F.struct(*parts, *([shown[f][0].alias("source_value"), shown[f][1].alias("entered_value")] if shown else []))
 
     out = F.array(*[row(f) for f in FIELDS if f in verdicts])
+    if shown:  # the words are put in by one lambda, not once for each field
+        out = F.transform(out, lambda v: F.struct(v["field"].alias("field"), v["status"].alias("status"), v["reason_code"].alias("reason_code"), explanation(v["reason_code"], v["source_value"], v["entered_value"]).alias("explanation"), v["source_value"].alias("source_value"), v["entered_value"].alias("entered_value")))
     if available is not None:
         out = F.filter(out, lambda v: (v["field"] != "availableDate") | (F.coalesce(available, F.lit("")) != ""))
     return pairs.withColumn("verdicts", out)
@@ -153,6 +153,17 @@ def worst(status: Column) -> Column:
     return F.when(top == 2, "red").when(top == 1, "yellow").otherwise("green")
 
 
+def categories(verdicts: Column, excluded: tuple[str, ...] = ADDRESSES) -> Column:
+    """array of struct(category, status) of the categories that a pair's verdicts have, each with its gravest status. Within the row: no shuffle."""
+
+    def one(name: str) -> Column:
+        own = F.filter(verdicts, lambda v: v["field"].isin(*[f for f, k in FIELDS.items() if k == name and f not in excluded]))
+        has = lambda s: F.exists(own, lambda v: v["status"] == s)
+        return F.when(F.size(own) > 0, F.struct(F.lit(name).alias("category"), F.when(has("red"), "red").when(has("yellow"), "yellow").otherwise("green").alias("status")))
+
+    return F.array_compact(F.array(*[one(k) for k in dict.fromkeys(FIELDS.values())]))
+
+
 def by_category(long: DataFrame, key: str, excluded: tuple[str, ...] = ADDRESSES) -> DataFrame:
     """(key, category, status): the gravest status of each category of a pair. One shuffle on (key, category), combined before it."""
     table = F.create_map(*[F.lit(x) for kv in FIELDS.items() for x in kv])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumenpair.functions import scalars as S
 from lumenpair.functions import vocabulary as V
 from lumenpair.operators import fields, verdicts
-from lumenpair.plans.tables import BIRTH_DATES, CODES, CONTACTS, LINE_QUANTITIES, NAMES, ORDER_DATES, derived, select
+from lumenpair.plans.tables import BIRTH_DATES, CODES, CONTACTS, LINE_QUANTITIES, NAMES, ORDER_DATES, derived, select, table
 
 
 def judged(spark, d, table, exprs, keys, comparison):
@@ -73,8 +73,14 @@ def a1_summary(spark, d):
 
 
 def a3_categories(spark, d):
-    long = verdict_rows(spark, d).select("c_custkey", F.explode("verdicts").alias("v")).select("c_custkey", F.col("v.field").alias("field"), F.col("v.status").alias("status"))
-    return verdicts.by_category(long, "c_custkey")
+    return verdict_rows(spark, d).select("c_custkey", F.explode(verdicts.categories(F.col("verdicts"))).alias("v")).select("c_custkey", "v.category", "v.status")
+
+
+def a2_worst(spark, d):
+    """The gravest status of each segment's categories, from rows of verdicts."""
+    rows = verdict_rows(spark, d).join(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    long = rows.select("c_mktsegment", F.explode(verdicts.categories(F.col("verdicts"))).alias("v")).select("c_mktsegment", F.col("v.category").alias("category"), F.col("v.status").alias("s"))
+    return long.groupBy("c_mktsegment", "category").agg(verdicts.worst(F.col("s")).alias("status"))
 
 
 _ISO = """CASE WHEN regexp_full_match(trim({0}), '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN CAST(TRY_CAST(trim({0}) AS DATE) AS VARCHAR)
@@ -143,7 +149,7 @@ _NAMES = f"""WITH G AS (SELECT * FROM (VALUES {_NICK}) t(c, w)), P AS (SELECT *,
       WHEN NOT exact AND NOT list_has_any(wa, wb) THEN 'red:surname_mismatch' WHEN NOT nick AND NOT part AND NOT fuzzy THEN 'red:first_name_mismatch' WHEN two THEN 'red:suffix_mismatch' WHEN NOT exact AND ({_tail('wa', 'wb')} OR {_tail('wb', 'wa')}) THEN 'yellow:middle_name_present'
       WHEN NOT exact THEN 'yellow:surname_partial' WHEN NOT nick AND part THEN 'yellow:given_name_partial' WHEN one THEN 'yellow:suffix_dropped' WHEN fa <> fb THEN 'yellow:nickname_match' ELSE 'green:exact_match' END AS w FROM Q)"""
 
-QUERIES = {f.__name__: f for f in (c1_names, c2_dates, d2_birth_dates, c3_written_or_available, d1_parse_date, c6_quantity, c7_refills, c9_npi, c10_phone, c12_substitution, k1_ndc, a1_summary, a3_categories)}
+QUERIES = {f.__name__: f for f in (c1_names, c2_dates, d2_birth_dates, c3_written_or_available, d1_parse_date, c6_quantity, c7_refills, c9_npi, c10_phone, c12_substitution, k1_ndc, a1_summary, a3_categories, a2_worst)}
 SQL = {
     "c1_names": _NAMES,
     "d1_parse_date": f"SELECT o_orderkey, b AS iso FROM ({_DATES})",
@@ -165,5 +171,6 @@ SQL = {
     "k1_ndc": f"""SELECT p_partkey, CASE WHEN regexp_full_match(code, '\\d+-\\d+-\\d+') AND length(replace(code, '-', '')) IN (10, 11) THEN lpad(split_part(code, '-', 1), 5, '0') || lpad(split_part(code, '-', 2), 4, '0') || lpad(split_part(code, '-', 3), 2, '0')
         WHEN regexp_full_match(code, '\\d{{11}}') THEN code END AS ndc11 FROM ({select('part', CODES)})""",
     "a1_summary": f"SELECT c_custkey, count(*) FILTER (status = 'green') AS green, count(*) FILTER (status = 'yellow') AS yellow, count(*) FILTER (status = 'red') AS red, count(*) AS total FROM ({_LONG}) GROUP BY 1",
+    "a2_worst": f"SELECT c_mktsegment, category, CASE WHEN bool_or(status = 'red') THEN 'red' WHEN bool_or(status = 'yellow') THEN 'yellow' ELSE 'green' END AS status FROM ({_LONG}) JOIN customer USING (c_custkey) GROUP BY 1, 2",
     "a3_categories": f"SELECT c_custkey, category, CASE WHEN bool_or(status = 'red') THEN 'red' WHEN bool_or(status = 'yellow') THEN 'yellow' ELSE 'green' END AS status FROM ({_LONG}) GROUP BY 1, 2",
 }
