@@ -100,7 +100,7 @@ def rejection(field: Column, status: Column, correction: Column, fields: tuple[s
 def scrubbed(text: Column, phrases: Column, tokens: Column, runs: Column, mark: str = "[redacted]") -> Column:
     """The text without any of the phrases (in any case), then without tokens, and without words that hold one of the runs of digits. phrases, tokens and runs are
     arrays; tokens are in lower case. Blank phrases are none."""
-    quoted = F.transform(F.filter(F.coalesce(phrases, F.array().cast("array<string>")), lambda p: ~blank(p)), lambda p: F.concat(F.lit(r"(?i)\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    quoted = F.transform(F.filter(F.coalesce(phrases, F.array().cast("array<string>")), lambda p: ~blank(p)), lambda p: F.concat(F.lit(r"(?iu)\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     out = F.aggregate(quoted, text, lambda t, p: F.regexp_replace(t, p, F.lit(mark)))
     pieces = F.regexp_extract_all(out, F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]+"), F.lit(0))
     digits = lambda w: F.regexp_replace(w, "[^0-9]", "")

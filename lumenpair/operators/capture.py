@@ -9,6 +9,7 @@ import json
 import math
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,24 +97,38 @@ def lines_of(words: list[Word]) -> list[list[Word]]:
     return [sorted(line, key=lambda w: w.x) for line in out]
 
 
+@lru_cache(maxsize=50_000)
+def nearest(said: str, n: int, patient: bool):
+    """(share of its length that is off, name, key) of the first label that `said`, in n words, is closest to; None where none is close enough."""
+    best = None
+    for name, most, key in LABELS:
+        if n <= most and (patient or key != "patient") and abs(len(said) - len(name)) <= allowed(len(name)):
+            off = distance(said, name)
+            if off <= allowed(len(name)) and (best is None or off / len(name) < best[0]):
+                best = (off / len(name), name, key)
+    return best
+
+
 def label_at(words: list[Word], start: int = 0, longer: bool = False):
     """(name, key, words taken) of the label that up to three words are closest to, as a share of its length; of equals the first, or with `longer` the one of more words."""
     best = None
     for n in range(1, min(3, len(words) - start) + 1):
         said = squeezed(text_of(words[start : start + n]))
-        for name, most, key in LABELS if said else ():
-            if n > most or (key == "patient" and words[start].x > PATIENT_X):
-                continue
-            off = distance(said, name)
-            if off <= allowed(len(name)) and (best is None or off / len(name) < best[0] or (longer and off / len(name) == best[0] and n > best[3])):
-                best = (off / len(name), name, key, n)
+        found = nearest(said, n, words[start].x <= PATIENT_X) if said else None
+        if found and (best is None or found[0] < best[0] or (longer and found[0] == best[0])):
+            best = (*found, n)
     return best and best[1:]
 
 
+@lru_cache(maxsize=50_000)
+def frames(said: str) -> bool:
+    return any(said == t if len(t) <= 2 else abs(len(said) - len(t)) <= allowed(len(t)) and distance(said, t) <= allowed(len(t)) for t in FRAME)
+
+
 def framed(word: Word) -> bool:
     """Whether a word belongs to the window around the record."""
     said = squeezed(word.text)
-    return bool(said) and any(said == t if len(t) <= 2 else distance(said, t) <= allowed(len(t)) for t in FRAME)
+    return bool(said) and frames(said)
 
 
 def before_gap(words: list[Word], gap: float) -> list[Word]:
