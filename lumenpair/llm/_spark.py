@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what was cut: it does so once neither Python nor the JVM refers to them, which it else finds out much later."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that one of our own steps wrote."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -5,13 +5,16 @@ t = 1 - SIMILARITY; every link is found. Copies of a text are one node (by a 64-
 
 1. Regions across the cluster. In a metric space of this many dimensions almost every document is at distance 1 from any pivot drawn from the corpus,
    so pivots are found where distances under 1 are: by shared n-grams. Each n-gram belongs to a pivot, the node of least rank that has it, and a
-   node goes to the regions of pivots that own part of its set. Two nodes a, b within t have at least
-   s/(1+s) * (|a| + |b|) n-grams in common; so a node may leave out any pivots that own less than
-   s/(1+s) of its set together, and any linked two still keep a pivot in common. That bound, not a guess, says which boundary
+   node goes to the regions of pivots that own part of its set. Two nodes a, b within t have at least s * max(|a|, |b|) n-grams in common. All nodes leave out
+   pivots in one order, by rank, as long as these own less than s of the node's set together; the last pivot in that order that owns a common
+   n-gram is then kept by both. That bound, not a guess, says which boundary
    documents are replicated, and to where. Ranks are random, and the least of f of them is about 1/f of the greatest: what owns common n-grams is left out first.
-2. A region of more than CELL nodes is parted over tasks: pivots drawn from it make Voronoi cells, and a node is a guest of each lesser cell within the
+2. A node goes there without its text, with the parities of its n-grams in 2 to 4 bits for each. Sets of a and b elements whose parities differ in h places have at most
+   (a + b - h) / 2 in common, so a node for which that leaves no partner in a region, or none that it hasn't met in a lesser one, isn't linked there.
+   As corpora grow, unrelated texts share ever more n-grams and so regions; only texts with a likely partner follow.
+3. A region of which more than CELL nodes are left is parted over tasks: pivots drawn from it make Voronoi cells, and a node is a guest of each lesser cell within the
    triangle-inequality window of 2t; cells that stay large, as all their nodes are close, are parted into blocks.
-3. Inside a task more pivots make cells again, in turn, until they are small, or distances no longer part them; then by exact set intersections.
+4. Inside a task more pivots make cells again, in turn, until they are small, or distances no longer part them; then by exact set intersections.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from pyspark.sql import functions as F
 
 from lumenpair.llm import _blocks as blocks
 from lumenpair.llm import _text as text
-from lumenpair.llm._spark import cut, free, partitions, table
+from lumenpair.llm._spark import cut, free, partitions, release, table
 
 WORDS, SIMILARITY = 3, 0.5
 T = 1 - SIMILARITY + 1e-9
 #: What pivots may own of a set and yet be left out.
-SPARE = 0.999 * SIMILARITY / (1 + SIMILARITY)
+SPARE = 0.999 * SIMILARITY
 #: Sets that are joined without further pivots; cells of a matrix at once.
 LEAF, CELLS = 1500, 6_000_000
 #: Nodes of a region that one task takes, and pivots that part a larger one.
 CELL, PIVOTS = 4000, 32
+#: Pairs of nodes, and bytes of their parities, that are compared at once.
+PAIRS, HELD = 400_000, 32 << 20
 #: At most so many n-grams, those in OFTEN nodes or more as estimated by a sample of 1 / SAMPLE of them, bring their pivot along instead of meeting in one task. Only the
 #: plan depends on them.
 FREQUENT, OFTEN, SAMPLE = 16_384, 20_000, 64
@@ -53,8 +58,40 @@ def nodes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("node"), "text")
 
 
+def codes(node: np.ndarray) -> np.ndarray:
+    """The first 32 bits of nodes, which stand for them on the way to their regions. Pivots of one code are one; choose() in regions() sees to nodes of one code."""
+    return (node.view(np.uint64) >> U(32)).astype(np.uint32)
+
+
+def widths(n: np.ndarray) -> np.ndarray:
+    """Bits of parities for sets of n elements: a power of two from 64 on, of twice to four times n."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1) * 2)).astype(np.int64))
+
+
+class Sketches:
+    """Sends (node, elements of its set, parities of its n-grams) to the bucket of the node's code."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.n = buckets, {}, 0
+
+    def add(self, bucket: np.ndarray, node: np.ndarray, found: list[np.ndarray]):
+        wide = widths(np.array([len(s) for s in found]))
+        for b, i, w, s in zip(bucket.tolist(), node.tolist(), wide.tolist(), found):
+            bits = np.packbits((np.bincount((s & U(w - 1)).astype(np.int64), minlength=w) & 1).astype(np.uint8)).tobytes()
+            self.held.setdefault(b, []).append((i, len(s), bits))
+            self.n += 16 + w // 8
+        if self.n >= HELD:
+            yield from self.flush()
+
+    def flush(self):
+        if self.n:
+            rows = [(b, 1, np.array([x[0] for x in v], np.int64).tobytes(), np.array([x[1] for x in v], np.int32).tobytes(), b"".join(x[2] for x in v)) for b, v in self.held.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), blocks.ARROW)], schema=blocks.ARROW)
+        self.held, self.n = {}, 0
+
+
 class Postings:
-    """Sends (n-gram, node) to the bucket of the n-gram. A node's n-grams follow each other, so a row of a bucket has the n-grams, each node once, and a bit for each n-gram
+    """Sends (n-gram, node's code) to the bucket of the n-gram. A node's n-grams follow each other, so a row of a bucket has the n-grams, each node once, and a bit for each n-gram
     that says whether the next node begins: what a posting takes depends little on the number of buckets."""
 
     def __init__(self, buckets: int):
@@ -63,7 +100,7 @@ class Postings:
     def add(self, gram: np.ndarray, node: np.ndarray):
         bucket = (gram % U(self.buckets)).astype(np.uint16 if self.buckets <= 1 << 16 else np.int32)
         # a reducer needs to tell n-grams apart, not to know them: where two look alike their nodes only meet once more
-        self.held.append((bucket, ((gram // U(self.buckets)) & U(0xFFFFFFFF)).astype(np.uint32), node))
+        self.held.append((bucket, ((gram // U(self.buckets)) & U(0xFFFFFFFF)).astype(np.uint32), codes(node)))
         self.n += len(gram)
         if self.n >= blocks.HOLD:
             yield from self.flush()
@@ -114,16 +151,16 @@ def frequent(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nda
 
 
 def regions(texts: DataFrame) -> DataFrame:
-    """(node, regions array<bigint>) of each node of texts(node, text) that may have a partner: the pivots to whose regions it goes. A task sends each node
-    once, so a text with a million copies is a few rows."""
+    """(node, n, bits, regions array<int>) of each node of texts(node, text) that may have a partner: the elements of its set, their parities, and the pivots to
+    whose regions it goes, in order. A task sends each node once, so a text with a million copies is a few rows."""
     reducers = partitions(texts)
     buckets = reducers
-    own = lambda ids: text.mix(ids.view(np.uint64)) % U(buckets)
+    own = lambda code: text.mix(code.astype(np.uint64)) % U(buckets)
     handle = texts.sparkSession.sparkContext.broadcast(frequent(texts))  # at most FREQUENT rows
 
     def send(batches):
         often, lead_of = handle.value
-        grams, spare, known = Postings(buckets), blocks.Sender(buckets, kind=1), blocks.Sender(buckets, kind=2)
+        grams, sketches, known = Postings(buckets), Sketches(buckets), blocks.Sender(buckets, kind=2)
         sent: set = set()
         for part in text.pieces(batches):
             fresh = [k for k, x in enumerate(part.column(0).to_pylist()) if x not in sent and not sent.add(x)]
@@ -134,36 +171,35 @@ def regions(texts: DataFrame) -> DataFrame:
             some = n > 0
             if some.any():
                 g, doc = np.concatenate(found), np.repeat(ids, n)
-                yield from spare.add(own(ids[some]), ids[some], SPARE * n[some], np.zeros(some.sum(), np.int8))
+                yield from sketches.add(own(codes(ids[some])), ids[some], [x for x in found if len(x)])
                 if len(often):
                     at = np.minimum(np.searchsorted(often, g), len(often) - 1)
                     hit = often[at] == g
-                    some, pivot, n = counted(doc[hit], lead_of[at[hit]].view(np.int64), np.ones(hit.sum(), np.int32))
-                    yield from known.add(own(some), some, pivot, n)
+                    code, pivot, n = counted(codes(doc[hit]), codes(lead_of[at[hit]]), np.ones(hit.sum(), np.int32))
+                    yield from known.add(own(code), code, pivot, n)
                     g, doc = g[~hit], doc[~hit]
                 yield from grams.add(g, doc)
-        for sender in (grams, spare, known):
+        for sender in (grams, sketches, known):
             yield from sender.flush()
 
     def lead(batches):
-        pairs, kinds = blocks.Sender(buckets), {0: (np.uint32, np.int64, np.uint8), 1: (np.int64, np.float64, np.int8), 2: (np.int64, np.int64, np.int32)}
-        got = blocks.gather(batches, kinds)
-        for kind, as_kind in ((1, 1), (2, 2)):  # these only pass
-            for bucket, *values in got[kind]:
-                row = [[bucket], [as_kind], *[[v.tobytes()] for v in values]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, blocks.ARROW)], schema=blocks.ARROW)
+        pairs, got = blocks.Sender(buckets), []
+        for batch in batches:
+            kind = np.asarray(batch.column(1))
+            if (kind > 0).any():  # these only pass
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(kind > 0)).columns, schema=blocks.ARROW)
+            got += blocks.gather([batch.filter(pa.array(kind == 0))], {0: (np.uint32, np.uint32, np.uint8)})[0]
         out = []
-        for b in sorted({r[0] for r in got[0]}):
-            g, doc = Postings.read([r for r in got[0] if r[0] == b])
-            order = np.lexsort((doc, g))
-            g, doc = g[order], doc[order]
-            once = np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]  # other tasks may send a copy
-            g, doc = g[once], doc[once]
+        for b in sorted({r[0] for r in got}):
+            g, doc = Postings.read([r for r in got if r[0] == b])
+            # the n-gram above the code: sorted by both, each once, as other tasks may send a copy
+            both = np.sort((g.astype(np.uint64) << U(32)) | doc)
+            both = both[np.r_[True, both[1:] != both[:-1]]]
+            g, doc = (both >> U(32)).astype(np.uint32), both.astype(np.uint32)
             start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            low, high = np.minimum.reduceat(doc.view(np.uint64), start), np.maximum.reduceat(doc.view(np.uint64), start)
             n = np.diff(np.r_[start, len(g)])
-            shared = np.repeat(low != high, n)
-            out.append((doc[shared], np.repeat(low.view(np.int64), n)[shared]))
+            shared = np.repeat(n > 1, n)
+            out.append((doc[shared], np.repeat(doc[start], n)[shared]))
         if out:
             doc, pivot = (np.concatenate(x) for x in zip(*out))
             if len(doc):
@@ -172,28 +208,141 @@ def regions(texts: DataFrame) -> DataFrame:
                 yield from pairs.flush()
 
     def choose(batches):
-        kinds = {0: (np.int64, np.int64, np.int32), 1: (np.int64, np.float64, np.int8), 2: (np.int64, np.int64, np.int32)}
+        kinds = {0: (np.uint32, np.uint32, np.int32), 1: (np.int64, np.int32, np.uint8), 2: (np.uint32, np.uint32, np.int32)}
         got = blocks.gather(batches, kinds)
-        _, ids, d, _ = blocks.joined(got[1], kinds[1])
+        at: dict = {}
+        for _, ids, n, bits in got[1]:
+            end = np.cumsum(widths(n) // 8).tolist()
+            at |= {i: (k, bits[e - w : e]) for i, k, e, w in zip(ids.tolist(), n.tolist(), end, (widths(n) // 8).tolist())}
+        ids = np.array(sorted(at), np.int64)
+        code = codes(ids)
+        ids = ids[np.argsort(code, kind="stable")]
+        code, size = codes(ids), np.array([at[i][0] for i in ids.tolist()])
         _, doc, pivot, n = blocks.joined(got[2], kinds[2])
-        once = np.unique(np.stack([doc, pivot, n]), axis=1)  # copies say the same
-        _, doc, pivot, n = (np.r_[x, y] for x, y in zip((0, *once), blocks.joined(got[0], kinds[0])))
+        once = np.unique(np.stack([doc.astype(np.int64), pivot, n]), axis=1)  # copies say the same
+        _, doc, pivot, n = (np.r_[x, y] for x, y in zip((0, *(x.astype(k) for x, k in zip(once, kinds[2]))), blocks.joined(got[0], kinds[0])))
         doc, pivot, n = counted(doc, pivot, n)
-        ids, first = np.unique(ids, return_index=True)
-        d = d[first]
-        order = np.lexsort((pivot.view(np.uint64) * 2.0**-64 * n, doc))  # owners of common n-grams first, and of few
-        doc, pivot, n = doc[order], pivot[order], n[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        twins = np.diff(np.r_[first, len(code)])
+        # of nodes with one code each goes wherever any of them does, and to a region of their own
+        spare = SPARE * np.minimum.reduceat(size, first) if len(first) else np.zeros(0)
         start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
         total = np.cumsum(n)
         within = total - np.repeat(total[start] - n[start], np.diff(np.r_[start, len(doc)])) if len(doc) else total
-        keep = within > d[np.searchsorted(ids, doc)] if len(doc) else np.zeros(0, bool)
-        doc, pivot = doc[keep], pivot[keep]
-        start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(doc)].astype(np.int32)), pa.array(pivot))
-        yield pa.RecordBatch.from_arrays([pa.array(doc[start]), lists], ["node", "regions"])
+        keep = within > spare[np.searchsorted(code[first], doc)] if len(doc) else np.zeros(0, bool)
+        doc, pivot = np.r_[doc[keep], code[first][twins > 1]], np.r_[pivot[keep], code[first][twins > 1]]
+        doc, pivot, _ = counted(doc, pivot, np.ones(len(doc), np.int32))
+        low, high = np.searchsorted(doc, code), np.searchsorted(doc, code, side="right")
+        some = np.flatnonzero(high > low)
+        region = (pivot.astype(np.int64) - (1 << 31)).astype(np.int32)
+        for k in range(0, len(some), 5000):
+            rows = some[k : k + 5000]
+            lists = [region[a:b] for a, b in zip(low[rows].tolist(), high[rows].tolist())]
+            bits = [at[i][1].tobytes() for i in ids[rows].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(size[rows].astype(np.int32)), pa.array(bits, pa.binary()), pa.array(lists, pa.list_(pa.int32()))], ["node", "n", "bits", "regions"])
 
     led = blocks.exchange(texts.select("node", "text").mapInArrow(send, blocks.SCHEMA), lead, reducers)
-    return blocks.exchange(led, choose, reducers, "node long, regions array<bigint>")
+    return blocks.exchange(led, choose, reducers, "node long, n int, bits binary, regions array<int>")
+
+
+class Parities:
+    """The nodes of a table (n, bits), and which of their pairs may be linked."""
+
+    def __init__(self, n: np.ndarray, bits: list[bytes]):
+        self.n, self.wide = n.astype(np.int64), widths(n)
+        data, end = np.frombuffer(b"".join(bits), np.uint8), np.cumsum(self.wide // 8)
+        self.level, self.row = {}, {}
+        for w in np.unique(self.wide).tolist():
+            # sets of half the elements or more have half as many bits or more, so those of twice as many are folded once
+            same, more = np.flatnonzero(self.wide == w), np.flatnonzero(self.wide == 2 * w)
+            pick = lambda k, w: data[(end[k] - w // 8)[:, None] + np.arange(w // 8)]
+            wider = pick(more, 2 * w)
+            self.level[w] = np.concatenate([pick(same, w), wider[:, : w // 8] ^ wider[:, w // 8 :]]).view(np.uint64)
+            self.row[w] = np.zeros(len(n), np.int64)
+            self.row[w][np.r_[same, more]] = np.arange(len(same) + len(more))
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair, whether their sets may have a similarity of SIMILARITY."""
+        na, nb = self.n[a], self.n[b]
+        out = np.minimum(na, nb) >= SPARE * np.maximum(na, nb)
+        wide = np.minimum(self.wide[a], self.wide[b])
+        for w in np.unique(wide[out]).tolist():
+            k, level, row = np.flatnonzero(out & (wide == w)), self.level[w], self.row[w]
+            for part in np.array_split(k, 1 + len(k) * w // 8 // HELD):
+                apart = np.bitwise_count(level[row[a[part]]] ^ level[row[b[part]]]).sum(axis=1, dtype=np.int64)
+                both = na[part] + nb[part]
+                out[part] = both - apart >= 2 * SPARE / (1 + SIMILARITY) * both
+        return out
+
+
+def partners(near: DataFrame, cell: int = CELL) -> DataFrame:
+    """(region, node) of the nodes of near, as of regions(), that may have a link in the region which no lesser region has. Regions of more than `cell`
+    nodes are compared block by block."""
+    apart = near.select("node", "n", "bits", "regions", F.posexplode("regions").alias("at", "region")).withColumn("earlier", F.slice("regions", 1, F.col("at"))).drop("regions", "at")
+    hot = near.select(F.explode("regions").alias("region")).groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("blocks")).filter("blocks > 1")
+    hot = cut(hot)
+    if hot.isEmpty():
+        rows = apart.select("*", *(F.lit(0).alias(c) for c in ("block", "i", "j")))
+    else:
+        rows = apart.join(hot, "region", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.hash("node"), "blocks"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        region, i, j, block, node, n = (np.asarray(t.column(c)) for c in ("region", "i", "j", "block", "node", "n"))
+        new = np.r_[True, (region[1:] != region[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        after = np.r_[start[1:], len(region)][group] - np.arange(len(region)) - 1  # rows of the group that follow
+        sets_of, found, total = Parities(n, t.column("bits").to_pylist()), [], np.cumsum(after)
+        lo = 0
+        while lo < len(region):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - after[lo] + PAIRS)))
+            a = np.repeat(np.arange(lo, hi), after[lo:hi])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
+            some = (i[a] == j[a]) | (block[a] != block[b])
+            a, b = a[some], b[some]
+            some = sets_of.likely(a, b)
+            found.append((a[some], b[some]))
+            lo = hi
+        a, b = (np.concatenate(x) for x in zip(*found))
+        rows = np.unique(np.r_[a, b])
+        lists = dict(zip(rows.tolist(), t.column("earlier").take(pa.array(rows)).to_pylist()))
+        mark = np.zeros(len(region), bool)
+        order = np.argsort(group[a], kind="stable")
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.r_[True, group[a][1:] != group[a][:-1]]) if len(a) else np.zeros(0, np.int64)
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(a)]):
+            x, y = a[lo:hi], b[lo:hi]
+            if hi - lo <= 50:
+                fresh = np.array([set(lists[p]).isdisjoint(lists[q]) for p, q in zip(x.tolist(), y.tolist())])
+            else:
+                own, place = np.unique(np.r_[x, y], return_inverse=True)
+                met = meet_earlier([lists[p] for p in own.tolist()], int(region[x[0]]))
+                fresh = ~shares(met, place[: len(x)], place[len(x) :])
+            mark[x[fresh]] = mark[y[fresh]] = True
+        return pa.RecordBatch.from_arrays([pa.array(region[mark].astype(np.int64)), pa.array(node[mark])], ["region", "node"])
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("region", "i", "j")]
+            last = np.flatnonzero(np.any([x != x[-1] for x in ends], axis=0))
+            at = int(last[-1]) + 1 if len(last) else 0  # where the batch's last group begins
+            if held and any(x[0] != np.asarray(held[-1].column(held[-1].schema.get_field_index(c)))[-1] for x, c in zip(ends, ("region", "i", "j"))):
+                yield compare(pa.Table.from_batches(held))
+                held = []
+            if at:
+                yield compare(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held = []
+            held.append(batch.slice(at))
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    sent = rows.select("region", "i", "j", "block", "node", "n", "bits", "earlier").repartition(partitions(near), "region", "i", "j").sortWithinPartitions("region", "i", "j")
+    out = sent.mapInArrow(run, "region long, node long")
+    return out if hot.isEmpty() else out.distinct()
 
 
 def counted(doc: np.ndarray, pivot: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -298,14 +447,21 @@ def meet_earlier(lists: list, region: int) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
+def shares(met: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs i, j of rows have a bit in common."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 100_000):
+        out[k : k + 100_000] = (met[i[k : k + 100_000]] & met[j[k : k + 100_000]]).any(axis=1)
+    return out
+
+
 def new_links(found: list, lists: list, region: int, own: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) of the links of own with own (where there are no others) or with others, for which no lesser region has both."""
     met = meet_earlier(lists, region)
     for i, j, _ in metric_join(found, own, others) if not len(others) else across(found, own, others):
         new = np.ones(len(i), bool)
         if met.shape[1]:
-            for k in range(0, len(i), 100_000):
-                new[k : k + 100_000] = ~(met[i[k : k + 100_000]] & met[j[k : k + 100_000]]).any(axis=1)
+            new = ~shares(met, i, j)
         yield i, j, new
 
 
@@ -441,14 +597,19 @@ def linked(docs: DataFrame, cell: int = CELL) -> tuple[DataFrame, DataFrame, Dat
     member = cut(nodes(docs).select("doc_id", "node"))
     first = member.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     near = cut(regions(nodes(docs).select("node", "text")))
+    release(docs.sparkSession)
+    apart = cut(partners(near, cell))
+    near = near.select("node", "regions")
+    release(docs.sparkSession)
     # by node and doc_id, so that all copies of a text aren't in one place
     with_text = lambda rows: rows.join(nodes(docs), ["node", "doc_id"])
-    apart = near.select("node", F.explode("regions").alias("region"))
     hot = apart.groupBy("region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > cell)
     rows = apart.select("region", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("block"), F.lit(False).alias("guest"), "node")
     if not hot.isEmpty():
         rows = rows.join(hot, "region", "left_anti").unionByName(parted(apart.join(hot, "region"), lambda r: with_text(r.join(first, "node")), cell))
-    return member, first, cut(join_cells(with_text(rows.join(near, "node").join(first, "node"))))
+    joined = cut(join_cells(with_text(rows.join(near, "node").join(first, "node"))))
+    release(docs.sparkSession)
+    return member, first, joined
 
 
 def components(edges: DataFrame) -> DataFrame:

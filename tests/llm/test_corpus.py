@@ -113,6 +113,46 @@ def test_frequent_ngrams_change_nothing(spark, monkeypatch):
     assert sorted(tuple(x) for x in near_dedup.groups(d).collect()) == plain_groups(rows)
 
 
+def entangled_rows():
+    """Unrelated texts with over half of their n-grams in others, and five near copies."""
+    r, pool = random.Random(12), [prose(6, 500 + k) for k in range(100)]
+    rows = [(d, " ".join(f"{p} x{d}y{k}" for k, p in enumerate(r.sample(pool, 20)))) for d in range(150)]
+    return rows + [(150 + d, rows[d][1] + " " + prose(9, 900 + d)) for d in range(5)]
+
+
+def test_near_sends_texts_only_to_likely_partners(spark, monkeypatch):
+    rows, sent, real = entangled_rows(), [], near_dedup.join_cells
+    monkeypatch.setattr(near_dedup, "join_cells", lambda rows: sent.append(rows.count()) or real(rows))
+    assert sorted(tuple(x) for x in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == plain_groups(rows)
+    assert sent[0] <= 20
+
+
+def test_nodes_of_one_code_are_told_apart(spark, monkeypatch):
+    rows = near_rows()
+    few = F.expr("shiftleft(pmod(xxhash64(text), 40), 32) + pmod(xxhash64(text), 4294967296)")
+    monkeypatch.setattr(near_dedup, "nodes", lambda docs: docs.select("doc_id", few.alias("node"), "text"))
+    assert sorted(tuple(x) for x in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == plain_groups(rows)
+
+
+def test_parities_leave_out_no_link():
+    import numpy as np
+
+    r, found = np.random.default_rng(4), []
+    for _ in range(60):
+        base = r.integers(0, 1 << 63, r.integers(1, 900)).astype(np.uint64)
+        for part in (1.0, 0.8, 0.6, 0.5):
+            found.append(np.unique(np.r_[base[: max(1, int(len(base) * part))], r.integers(0, 1 << 63, int(len(base) * r.random() * 0.3)).astype(np.uint64)]))
+    sketches = near_dedup.Sketches(1)
+    [row] = [*sketches.add(np.zeros(len(found), np.int64), np.arange(len(found)), found), *sketches.flush()]
+    n, bits = np.frombuffer(row.column(3)[0].as_py(), np.int32), row.column(4)[0].as_py()
+    end = np.cumsum(near_dedup.widths(n) // 8)
+    kept = near_dedup.Parities(n, [bits[e - w // 8 : e] for e, w in zip(end.tolist(), near_dedup.widths(n).tolist())])
+    a, b = np.triu_indices(len(found), 1)
+    linked = np.array([len(np.intersect1d(found[i], found[j])) >= near_dedup.SIMILARITY * len(np.union1d(found[i], found[j])) for i, j in zip(a, b)])
+    likely = kept.likely(a, b)
+    assert linked.sum() > 100 and likely[linked].all() and likely.sum() < 3 * linked.sum()
+
+
 def test_cells_are_exact(monkeypatch):
     import numpy as np
 
