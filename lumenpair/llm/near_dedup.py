@@ -652,7 +652,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without those whose class (see groups()) has a lesser doc_id, with all their columns, extra ones of any
     name included. Rows without doc_id or text stay, and so do rows that share the doc_id that stays."""
     name = free(docs, "copy")
-    gone = groups(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias(name))
+    gone = cut(groups(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias(name)))
+    release(docs.sparkSession)  # before whole rows are shuffled
     return docs.join(gone, F.col("`doc_id`") == F.col(name), "left_anti")
 
 

@@ -127,6 +127,15 @@ def test_near_sends_texts_only_to_likely_partners(spark, monkeypatch):
     assert sent[0] <= 20
 
 
+def test_near_stage_sends_texts_only_to_likely_partners(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    rows, sent, real = entangled_rows(), [], near_dedup.join_cells
+    monkeypatch.setattr(near_dedup, "join_cells", lambda rows: sent.append(rows.count()) or real(rows))
+    assert ids(p.near(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")) == [d for d, top, _ in plain_groups(rows) if d == top]
+    assert sent[0] <= 20
+
+
 def test_nodes_of_one_code_are_told_apart(spark, monkeypatch):
     rows = near_rows()
     few = F.expr("shiftleft(pmod(xxhash64(text), 40), 32) + pmod(xxhash64(text), 4294967296)")
