@@ -1,10 +1,12 @@
 """Operator 9: long repeats of any place in a text, by prefix-free parsing and suffix order.
 
-Rolling-hash triggers cut each text into phrases. A trigger is the least hash of a window, so phrases have a bounded length, and a passage that
-occurs twice is cut alike but for its ends. Phrases that occur once in the corpus can't be within a repeat, and go; only the dictionary
-of repeated phrases and the parse over it, runs of such phrases, stay. The suffixes of the parse are brought into corpus order:
-suffixes that begin with the same phrase meet in one task, which sorts them by their phrases (phrases by their digest; as repeats
-are equal prefixes, any order of the dictionary serves). Neighbours that have MIN_CHARS in common are occurrences of one repeat.
+Rolling-hash triggers cut each text into phrases. A trigger is the least hash of a window, so a stretch of text tells its first trigger whatever is around it. Places with the same
+first trigger are its block, with the MIN_CHARS characters that follow each; they share its core, the CORE characters from the trigger on. Only blocks of which the core
+occurs twice can hold repeats, and those meet in one task. Blocks that are alike are one class: its earliest is compared, the others repeat all of it.
+
+There the texts are cut into phrases at every occurrence of any of their triggers, so no phrase's suffix (longer than a trigger) is the prefix of another's. The suffix array of
+the dictionary, the distinct phrases, ranks suffixes by their text; that of the parse ranks what follows a phrase; both combined are the order of the corpus.
+Neighbours with MIN_CHARS characters in common are occurrences of one repeat.
 """
 
 from __future__ import annotations
@@ -17,190 +19,366 @@ from lumenpair.llm import _blocks as blocks
 from lumenpair.llm import _text as text
 from lumenpair.llm._spark import partitions, table
 
-#: Characters of a rolling hash, and hashes in a window: phrases are of at most WINDOW characters, but for a text's last.
+#: Characters of a rolling hash, and hashes in a window: phrases are of at most WINDOW + ROLL characters, but for a text's first and last.
 ROLL, WINDOW = 8, 48
-#: Characters of whole phrases that a repeat has at least. Repeats of MIN_CHARS + 2 * (WINDOW + ROLL) characters are found for certain.
+#: Characters that a repeat has at least.
 MIN_CHARS = 150
+#: Characters from a trigger on that all of its block's places share.
+CORE = MIN_CHARS - WINDOW + 1
+#: Characters whose suffixes are ordered at once, but for a core with more of them; and characters of texts that a task holds before it sends them on.
+ORDERED, HELD = 2_000_000, 24_000_000
 U = np.uint64
 ROLL_BASE, PHRASE_BASE = U(0x5851F42D4C957F2D), U(0xD1342543DE82EF95)
 PHRASE_BASE_INVERSE = U(pow(int(PHRASE_BASE), -1, 1 << 64))
+LOW = U(0xFFFFFFFF)
 
 
-def triggers(codes: np.ndarray) -> np.ndarray:
-    """Places where phrases begin, but for 0: of each window of WINDOW rolling hashes the least, of equal ones the last."""
-    n = len(codes) - ROLL + 1
-    if n < WINDOW:
-        return np.zeros(0, np.int64)
+def scrambled(code: np.ndarray) -> np.ndarray:
+    return text.mix(code.astype(np.uint64) + U(1))
+
+
+def rolling(codes: np.ndarray) -> np.ndarray:
+    """Hash of the ROLL characters from each place on."""
+    n = max(0, len(codes) - ROLL + 1)
     h = np.zeros(n, np.uint64)
     for k in range(ROLL):
         h *= ROLL_BASE
         h += codes[k : k + n]
-    h = text.mix(h)
+    return text.mix(h)
+
+
+def triggers(h: np.ndarray) -> np.ndarray:
+    """The trigger of each place: of the WINDOW rolling hashes from there the least, of equal ones the last."""
+    n = len(h)
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
     # the low bits give way to the place, so that the least hash tells where it is
-    h = (h & U(0xFFFFFFFFFFFFFF00)) | (U(255) - (np.arange(n, dtype=np.uint64) & U(255)))
+    h = (h & ~LOW) | (LOW - np.arange(n, dtype=np.uint64))
     size = -(-n // WINDOW) * WINDOW
     grid = np.full(size, U(0xFFFFFFFFFFFFFFFF))
     grid[:n] = h
     grid = grid.reshape(-1, WINDOW)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    first = np.arange(n - WINDOW + 1)
-    least = np.minimum(back[: n - WINDOW + 1], ahead[WINDOW - 1 : n])
-    low = (U(255) - (least & U(255))).astype(np.int64)
-    place = first + ((low - first) & 255)
-    return np.unique(place)
-
-
-def parse(code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, length, digest) of the phrases of concatenated texts, of which ends has the offsets."""
-    scrambled = text.mix(code.astype(np.uint64) + U(1))
-    where = []
-    for d in range(len(ends) - 1):
-        s, e = ends[d], ends[d + 1]
-        if e > s:
-            t = triggers(scrambled[s:e])
-            where.append(np.r_[s, t[t > 0] + s])
-    if not where:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    doc = np.repeat(np.flatnonzero(np.diff(ends)), [len(w) for w in where])
-    start = np.concatenate(where)
-    end = np.r_[start[1:], ends[-1]]
-    # sums of code * base^place: those of a phrase, times the base to the power of minus its start, don't depend on the start
-    power = np.full(len(code), PHRASE_BASE)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.r_[U(0), np.cumsum(scrambled * power)]
-    back = np.full(len(code), PHRASE_BASE_INVERSE)
-    back[0] = 1
+    return (LOW - (np.minimum(back[: n - WINDOW + 1], ahead[WINDOW - 1 : n]) & LOW)).astype(np.int64)
+
+
+def digester(codes: np.ndarray):
+    """A function of (starts, ends) that gives the digests of what is between them."""
+    # sums of code * base^place: those of a stretch, times the base to the power of minus its start, don't depend on the start
+    power, back = np.full(len(codes), PHRASE_BASE), np.full(len(codes), PHRASE_BASE_INVERSE)
+    power[:1] = back[:1] = 1
+    total = np.r_[U(0), np.cumsum(codes * np.multiply.accumulate(power))]
     back = np.multiply.accumulate(back)
-    digest = text.mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-    return doc, start - ends[doc], end - start, digest
+    return lambda start, end: text.mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+
+
+def within(ends: np.ndarray, n: int, room: int) -> np.ndarray:
+    """Which of the first n places of concatenated texts have room characters of their text from there on."""
+    return np.arange(n) + room <= np.repeat(ends[1:], np.diff(ends))[:n]
+
+
+def parse(code: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, trigger, first place, last place, digest of the core, digest of the block) of the blocks of concatenated texts, of which ends has the offsets."""
+    codes = scrambled(code)
+    owner = triggers(rolling(codes))
+    place = np.flatnonzero(within(ends, len(owner), MIN_CHARS))
+    owner = owner[place]
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+    at, low, high = owner[first], place[first], place[np.r_[first[1:], len(place)][: len(first)] - 1]
+    digest = digester(codes)
+    block = text.mix(digest(low, high + MIN_CHARS) + ((at - low) * WINDOW + at - high).astype(np.uint64))
+    return np.searchsorted(ends, at, "right") - 1, at, low, high, digest(at, at + CORE), block
+
+
+def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ranks, from 1 on, of the suffixes of concatenated sequences, each of which stops where its sequence ends: by twice as many symbols in each round. Equal ones share a rank."""
+    distinct, rank = np.unique(symbols, return_inverse=True)
+    rank, count, k = rank + 1, len(distinct), 1
+    length = np.diff(ends)
+    stop, longest = np.repeat(ends[1:], length), length.max(initial=0)
+    while k < longest:
+        ahead = np.arange(len(rank)) + k
+        then = np.where(ahead < stop, rank[np.minimum(ahead, len(rank) - 1)], 0)
+        distinct, rank = np.unique(rank * (count + 1) + then, return_inverse=True)
+        rank, k = rank + 1, 2 * k
+        if len(distinct) == count:
+            break
+        count = len(distinct)
+    return rank
+
+
+def corpus_order(code: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Indexes of the places `at` of concatenated texts, in the order of the suffixes that begin there."""
+    codes = scrambled(code)
+    h = rolling(codes)
+    owner = triggers(h)
+    chosen = np.unique(h[owner[within(ends, len(owner), WINDOW + ROLL - 1)]])
+    # a phrase begins wherever any trigger occurs, and ends with the next one's characters
+    start = np.unique(np.r_[ends[:-1], np.flatnonzero(np.isin(h, chosen) & within(ends, len(h), ROLL))])
+    owner = np.searchsorted(ends, start, "right") - 1
+    more = np.r_[owner[1:] == owner[:-1], False]
+    end = np.where(more, np.r_[start[1:], 0] + ROLL, ends[owner + 1])
+    _, known, phrase = np.unique(digester(codes)(start, end), return_index=True, return_inverse=True)
+    length = (end - start)[known]
+    dictionary = np.r_[0, np.cumsum(length)]
+    flat = np.repeat(start[known] - dictionary[:-1], length) + np.arange(dictionary[-1])
+    by_text = suffix_ranks(code[flat], dictionary)
+    by_parse = suffix_ranks(by_text[dictionary[phrase]], np.searchsorted(start, ends))
+    k = np.searchsorted(start, at, "right") - 1
+    after = np.where(more[k], by_parse[np.minimum(k + 1, len(start) - 1)], 0)
+    return np.lexsort((after, by_text[dictionary[phrase[k]] + at - start[k]]))
+
+
+def common(code: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Characters that suffixes have in common, up to MIN_CHARS."""
+    out, alive = np.full(len(a), MIN_CHARS), np.arange(len(a))
+    for k in range(MIN_CHARS):
+        same = code[a[alive] + k] == code[b[alive] + k]
+        out[alive[~same]] = k
+        alive = alive[same]
+    return out
+
+
+def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Maximal unions of spans that meet, each with the least source."""
+    if not len(doc):
+        return doc, start, end, source
+    order = np.lexsort((start, doc))
+    doc, start, end, source = doc[order], start[order].astype(np.int64), end[order].astype(np.int64), source[order]
+    own = np.r_[0, np.cumsum(doc[1:] != doc[:-1])] << 33
+    reach = np.maximum.accumulate(end + own)
+    cut = np.flatnonzero(np.r_[True, (start + own)[1:] > reach[:-1]])
+    return doc[cut], start[cut], np.maximum.reduceat(end, cut), np.minimum.reduceat(source, cut)
+
+
+def repeats(code: np.ndarray, ends: np.ndarray, count: np.ndarray, doc: np.ndarray, low: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(doc, start, end, source) of the repeats in the texts of blocks with count places each, the first at low; and the least source of each block's places."""
+    block = np.repeat(np.arange(len(count)), count)
+    step = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    at, place, of = ends[block] + step, low[block] + step, doc[block]
+    order = corpus_order(code, ends, at)
+    alike = common(code, at[order[:-1]], at[order[1:]]) >= MIN_CHARS
+    group = np.zeros(len(at), np.int64)
+    group[order] = np.r_[0, np.cumsum(~alike)]
+    order = np.lexsort((place, of, group))
+    first = order[np.searchsorted(group[order], np.arange(group.max() + 1))][group]
+    again = (of != of[first]) | (place != place[first])
+    source = of[first]
+    return united(of[again], place[again], place[again] + MIN_CHARS, source[again]), np.minimum.reduceat(source, np.cumsum(count) - count)
 
 
 def texts(batches):
     """(doc ids, offsets, code points) of a few texts at a time; those without id or text are left out."""
-    for part in text.pieces(batches, 4 << 20):
+    for part in text.pieces(batches, 1 << 20):
         rows = [(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if i is not None and t]
         if rows:
             code = np.frombuffer("".join(t for _, t in rows).encode("utf-32-le", "surrogatepass"), np.uint32)
             yield np.array([i for i, _ in rows], np.int64), np.r_[0, np.cumsum([len(t) for _, t in rows])], code
 
 
+def packed(bucket: int, kind: int, info: np.ndarray, pieces: list[bytes]) -> pa.RecordBatch:
+    """Rows and their texts, compressed."""
+    raw = b"".join(pieces)
+    size = np.array([len(raw), *map(len, pieces)], np.int64).tobytes()
+    row = [[bucket], [kind], [info.tobytes()], [pa.compress(raw, "zstd", asbytes=True)], [size]]
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, blocks.ARROW)], schema=blocks.ARROW)
+
+
+def unpacked(blob: bytes, size: bytes) -> list[bytes]:
+    size = np.frombuffer(size, np.int64)
+    raw = pa.decompress(blob, int(size[0]), "zstd", asbytes=True)
+    ends = np.r_[0, np.cumsum(size[1:])].tolist()
+    return [raw[s:e] for s, e in zip(ends[:-1], ends[1:])]
+
+
+def points(pieces: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+
+
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_char, end_char, first_doc_id) of the passages to remove: maximal unions of repeats whose earliest occurrence, by
-    (doc_id, start_char), is another. first_doc_id is the least document that has one of the union's repeats.
+    """(doc_id, start_char, end_char, first_doc_id) of the passages to remove: maximal unions of stretches of MIN_CHARS characters whose earliest occurrence, by
+    (doc_id, start_char), is another. first_doc_id is the least document that has one of the union's stretches.
 
-    A repeat is a run of the same whole phrases of MIN_CHARS characters or more, in other documents or in the same; a union's ends are phrase
-    ends, so up to WINDOW + ROLL characters of a passage may be left at either. Rows without doc_id or text have none; rows that share a
-    doc_id are one document, so the second repeats nothing of the first. Texts count whole; extra columns are ignored."""
+    Occurrences may be in other documents or in the same, and overlap. Unions that meet are one. Rows without doc_id or text have none; rows that share a
+    doc_id are one document, and what they have at the same place occurs once. Texts count whole; extra columns are ignored."""
     reducers = partitions(docs)
     buckets = reducers * 4
-    home = lambda ids: text.mix(ids.view(np.uint64)) % U(buckets)
-    place = np.dtype([("doc", "<i8"), ("start", "<i4")])
+    home = lambda ids: text.mix(np.ascontiguousarray(ids).view(np.uint64)) % U(buckets)
+    place = np.dtype([("doc", "<i8"), ("at", "<i4")])
+    shape = np.dtype([("block", "<u8"), ("back", "u1"), ("ahead", "u1")])
     known = np.dtype([("start", "<i4"), ("n", "<i4")])
+    asked = np.dtype([("at", "<i4"), ("back", "u1"), ("ahead", "u1"), ("fetch", "?")])
+    keys = np.dtype([("core", "<u8"), ("block", "<u8")])
+    member = np.dtype([("core", "<u8"), ("block", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("back", "u1"), ("ahead", "u1"), ("fetch", "?")])
+    FOUND, ASKED, TEXT = 0, 1, 2
 
-    def at(doc, start):
-        out = np.zeros(len(doc), place)
-        out["doc"], out["start"] = doc, start
+    def record(kind, n, /, **columns):
+        out = np.zeros(n, kind)
+        for k, v in columns.items():
+            out[k] = v
         return out
 
+    def span(start, end):
+        return record(known, len(start), start=start, n=end - start)
+
     def send(batches):
+        """Blocks, to the task of their core."""
         out = blocks.Sender(buckets)
         for ids, ends, code in texts(batches):
-            doc, start, n, digest = parse(code, ends)
-            yield from out.add(digest % U(buckets), (digest // U(buckets)) & U(0xFFFFFFFFFF), at(ids[doc], start), n.astype(np.int32))
+            doc, at, low, high, core, block = parse(code, ends)
+            where = record(place, len(doc), doc=ids[doc], at=at - ends[doc])
+            yield from out.add(core % U(buckets), (core // U(buckets)) & U(0xFFFFFFFFFF), where, record(shape, len(doc), block=block, back=at - low, ahead=at - high))
         yield from out.flush()
 
-    def repeated(batches):
-        """Occurrences of phrases that occur twice or more, sent to their document."""
-        out, kind = blocks.Sender(buckets), (np.uint64, place, np.int32)
+    def send_texts(batches):
+        """Texts, to the task of their document."""
+        held: dict[int, list] = {}
+        n = 0
+
+        def flush():
+            for b, rows in held.items():
+                yield packed(b, TEXT, np.array([i for i, _ in rows], np.int64), [t for _, t in rows])
+            held.clear()
+
+        for part in text.pieces(batches, 4 << 20):
+            rows = [(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()) if i is not None and t and len(t) >= MIN_CHARS]
+            for b, row in zip(home(np.array([i for i, _ in rows], np.int64)).tolist(), rows):
+                held.setdefault(b, []).append(row)
+                n += len(row[1])
+            if n >= HELD:
+                yield from flush()
+                n = 0
+        yield from flush()
+
+    def meet(batches):
+        """Of blocks that share their core: copies of the only one there is are repeats; where there are several, the earliest of each is to be compared. All go to their document."""
+        found, ask, kind = blocks.Sender(buckets, FOUND), blocks.Sender(buckets, ASKED), (np.uint64, place, shape)
         got = blocks.gather(batches, {0: kind})[0]
         for b in sorted({r[0] for r in got}):
-            _, digest, where, n = blocks.joined([r for r in got if r[0] == b], kind)
-            _, group, count = np.unique(digest, return_inverse=True, return_counts=True)
-            keep = count[group] > 1
-            where, n = where[keep], n[keep]
-            info = np.zeros(len(n), known)
-            info["start"], info["n"] = where["start"], n
-            yield from out.add(home(where["doc"]), where["doc"], info, digest[keep] * U(buckets) + U(b))
+            _, core, where, form = blocks.joined([r for r in got if r[0] == b], kind)
+            _, group, count = np.unique(core, return_inverse=True, return_counts=True)
+            keep = np.flatnonzero(count[group] > 1)
+            keep = keep[np.lexsort((where["at"][keep], where["doc"][keep], form["block"][keep], group[keep]))]
+            group, core, where, form = group[keep], core[keep], where[keep], form[keep]
+            if not len(keep):
+                continue
+            rival = np.r_[True, (group[1:] != group[:-1]) | (form["block"][1:] != form["block"][:-1])]
+            # rows that share a doc_id may give a place twice
+            once = rival | np.r_[True, where[1:] != where[:-1]]
+            rival, group, core, where, form = rival[once], group[once], core[once], where[once], form[once]
+            first = np.maximum.accumulate(np.where(rival, np.arange(len(rival)), 0))
+            alone = np.bincount(group, rival)[group] < 2
+            low, high = where["at"] - form["back"], where["at"] - form["ahead"].astype(np.int32)
+            k = np.flatnonzero(alone & ~rival)
+            yield from found.add(home(where["doc"][k]), where["doc"][k], span(low[k], high[k] + MIN_CHARS), where["doc"][first[k]])
+            k = np.flatnonzero(~alone)
+            what = record(asked, len(k), at=where["at"][k], back=form["back"][k], ahead=form["ahead"][k], fetch=rival[k])
+            yield from ask.add(home(where["doc"][k]), where["doc"][k], what, record(keys, len(k), core=core[k] * U(buckets) + U(b), block=form["block"][k]))
+        yield from found.flush()
+        yield from ask.flush()
+
+    def fetch(batches):
+        """Blocks that are to be compared, with their text, to the task of their core; what is found already stays with its document."""
+        out, kinds = blocks.Sender(buckets, FOUND), {FOUND: (np.int64, known, np.int64), ASKED: (np.int64, asked, keys), TEXT: (np.int64, np.uint8, np.int64)}
+        got = blocks.gather(batches, kinds)
+        to: dict[int, list] = {}
+        for b in sorted({r[0] for rows in got.values() for r in rows}):
+            _, doc, what, source = blocks.joined([r for r in got[FOUND] if r[0] == b], kinds[FOUND])
+            doc, start, end, source = united(doc, what["start"], what["start"] + what["n"], source)
+            yield from out.add(home(doc), doc, span(start, end), source)
+            _, doc, what, key = blocks.joined([r for r in got[ASKED] if r[0] == b], kinds[ASKED])
+            row = record(member, len(doc), doc=doc, core=key["core"], block=key["block"], at=what["at"], back=what["back"], ahead=what["ahead"], fetch=what["fetch"])
+            wanted, have = set(doc[what["fetch"]].tolist()), {}
+            for _, ids, blob, size in (r for r in got[TEXT] if r[0] == b):
+                if not wanted.isdisjoint(ids.tolist()):
+                    for i, t in zip(ids.tolist(), unpacked(blob.tobytes(), size.tobytes())):
+                        if i in wanted:
+                            have.setdefault(i, []).append(t.decode())
+            own = {}  # rows that share a doc_id are told apart by their blocks
+            for i, t in ((i, t) for i, several in have.items() if len(several) > 1 for t in several):
+                _, at, _, _, _, block = parse(points([t]), np.array([0, len(t)]))
+                own |= {(i, a, d): t for a, d in zip(at.tolist(), block.tolist())}
+            part = [b""] * len(row)
+            for k in np.flatnonzero(row["fetch"]).tolist():
+                at = int(row["at"][k])
+                low, end = at - int(row["back"][k]), at - int(row["ahead"][k]) + MIN_CHARS
+                choice = have[int(row["doc"][k])]
+                part[k] = (choice[0] if len(choice) == 1 else own[int(row["doc"][k]), at, int(row["block"][k])])[low:end].encode()
+            target = row["core"] % U(buckets)
+            order = np.argsort(target, kind="stable")
+            target, row = target[order], row[order]
+            for s, e in zip(*edges(target)):
+                to.setdefault(int(target[s]), []).append((row[s:e], [part[k] for k in order[s:e]]))
         yield from out.flush()
+        for b, rows in to.items():
+            yield packed(b, ASKED, np.concatenate([r for r, _ in rows]), [t for _, part in rows for t in part])
 
-    def runs(batches):
-        """Suffixes of the runs of repeated phrases, each as long as MIN_CHARS needs, sent to the task of their first phrase."""
-        kind = (np.int64, known, np.uint64)
-        _, doc, info, digest = blocks.joined(blocks.gather(batches, {0: kind})[0], kind)
-        if not len(doc):
+    def edges(x):
+        start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+        return start, np.r_[start[1:], len(x)][: len(start)]
+
+    def shares(row, part):
+        """(which blocks, their texts, places in each, the first of these) of what is ordered at once: all, or of a core with too much text the places that are as far from the trigger, in shares by their text."""
+        back, ahead = row["back"].astype(np.int64), row["ahead"].astype(np.int64)
+        if sum(map(len, part)) <= ORDERED or len(part) == 1:
+            yield np.arange(len(row)), part, back - ahead + 1, row["at"] - back
             return
-        start, n = info["start"].astype(np.int64), info["n"].astype(np.int64)
-        order = np.lexsort((start, doc))
-        doc, start, n, digest = doc[order], start[order], n[order], digest[order]
-        # rows that share a doc_id may give a place twice
-        once = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]) | (digest[1:] != digest[:-1])]
-        doc, start, n, digest = doc[once], start[once], n[once], digest[once]
-        total = np.r_[0, np.cumsum(n)]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])]
-        first = np.flatnonzero(new)
-        stop = np.repeat(np.r_[first[1:], len(doc)], np.diff(np.r_[first, len(doc)]))
-        # phrases [k, last[k]) have MIN_CHARS characters
-        last = np.searchsorted(total, total[:-1] + MIN_CHARS)
-        some = np.flatnonzero(last <= stop)
-        rows: dict[int, list] = {}
-        to = (digest[some] % U(buckets)).astype(np.int64)
-        for b, k in zip(to.tolist(), some.tolist()):
-            rows.setdefault(b, []).append(k)
-        for b, ks in rows.items():
-            k = np.array(ks)
-            length = last[k] - k
-            flat = np.repeat(k - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(length.sum())
-            info = np.zeros(len(k), np.dtype([("doc", "<i8"), ("start", "<i4"), ("chars", "<i4")]))
-            info["doc"], info["start"], info["chars"] = doc[k], start[k], total[last[k]] - total[k]
-            row = [[b], [0], [info.tobytes()], [length.astype(np.int32).tobytes()], [digest[flat].tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, blocks.ARROW)], schema=blocks.ARROW)
+        for r in range(WINDOW):
+            own = np.flatnonzero((ahead <= r) & (r <= back))
+            if not len(own):
+                continue
+            piece = [part[k][b - r : b - r + MIN_CHARS] for k, b in zip(own.tolist(), back[own].tolist())]
+            share = np.array([hash(t) for t in piece]) % (1 + MIN_CHARS * len(own) // ORDERED)
+            order = np.argsort(share, kind="stable")
+            for s, e in zip(*edges(share[order])):
+                k = order[s:e]
+                yield own[k], [piece[j] for j in k], np.ones(len(k), np.int64), row["at"][own[k]].astype(np.int64) - r
 
     def order_suffixes(batches):
-        """The repeats: of suffixes that are alike all but the earliest, sent to their document."""
-        out, suffix = blocks.Sender(buckets), np.dtype([("doc", "<i8"), ("start", "<i4"), ("chars", "<i4")])
-        by: dict[int, list] = {}
+        """The repeats, sent to their document."""
+        out, by = blocks.Sender(buckets, FOUND), {}
         for batch in batches:
-            for b, info, length, flat in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
-                by.setdefault(b, []).append((info, length, flat))
+            for b, kind, *rest in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if kind == FOUND:
+                    doc, what, source = (np.frombuffer(x, t) for x, t in zip(rest, (np.int64, known, np.int64)))
+                    yield from out.add(home(doc), doc, what, source)
+                else:
+                    by.setdefault(b, []).append(rest)
         for rows in by.values():
-            info = np.frombuffer(b"".join(r[0] for r in rows), suffix)
-            ends = np.r_[0, np.cumsum(np.frombuffer(b"".join(r[1] for r in rows), np.int32), dtype=np.int64)] * 8
-            flat = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).byteswap().tobytes()  # big-endian bytes sort as the digests do
-            keys = [flat[s:e] for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            tie = np.lexsort((info["start"], info["doc"])).tolist()
-            sa = sorted(tie, key=keys.__getitem__)  # the suffix array: by phrases, then by place
-            same = np.array([False] + [keys[a] == keys[b] for a, b in zip(sa[:-1], sa[1:])])
-            sa = np.array(sa)
-            begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(sa))))
-            again, source = sa[same], sa[begin[same]]
-            found = np.zeros(len(again), known)
-            found["start"], found["n"] = info["start"][again], info["chars"][again]
-            yield from out.add(home(np.ascontiguousarray(info["doc"][again])), info["doc"][again], found, info["doc"][source])
+            row = np.concatenate([np.frombuffer(info, member) for info, _, _ in rows])
+            part = [t for _, blob, size in rows for t in unpacked(blob, size)]
+            order = np.lexsort((~row["fetch"], row["block"], row["core"]))  # the one with a text leads its copies
+            row, part = row[order], [part[k].decode() for k in order]
+            low, high = row["at"] - row["back"].astype(np.int64), row["at"] - row["ahead"].astype(np.int64)
+            reach = np.cumsum([len(t) for t in part])
+            s, held = edges(row["core"])[1], 0
+            begin = 0
+            for j, e in enumerate(s.tolist()):  # whole cores, as many as fit
+                if e < len(row) and reach[s[j + 1] - 1] - held <= ORDERED:
+                    continue
+                lead = np.flatnonzero(row["fetch"][begin:e]) + begin
+                least = row["doc"][lead].copy()
+                for own, piece, count, first in shares(row[lead], [part[k] for k in lead]):
+                    (doc, start, end, source), found = repeats(points(piece), np.r_[0, np.cumsum([len(t) for t in piece])], count, row["doc"][lead[own]], first)
+                    yield from out.add(home(doc), doc, span(start, end), source)
+                    least[own] = np.minimum(least[own], found)
+                copy = np.flatnonzero(~row["fetch"][begin:e]) + begin
+                source = least[np.searchsorted(lead, copy) - 1]
+                yield from out.add(home(row["doc"][copy]), row["doc"][copy], span(low[copy], high[copy] + MIN_CHARS), source)
+                begin, held = e, reach[e - 1]
         yield from out.flush()
 
     def unite(batches):
         kind = (np.int64, known, np.int64)
-        _, doc, info, source = blocks.joined(blocks.gather(batches, {0: kind})[0], kind)
-        start, end = info["start"].astype(np.int64), info["start"].astype(np.int64) + info["n"]
-        order = np.lexsort((start, doc))
-        doc, start, end, source = doc[order], start[order], end[order], source[order]
-        cuts: list[int] = []
-        reach, own = -1, None
-        for k, (d, s, e) in enumerate(zip(doc.tolist(), start.tolist(), end.tolist())):
-            if d != own or s > reach:
-                cuts.append(k)
-                own, reach = d, e
-            else:
-                reach = max(reach, e)
-        c = np.array(cuts, np.int64)
-        pick = lambda f, x: f.reduceat(x, c) if len(c) else x
-        yield pa.RecordBatch.from_arrays([pa.array(doc[c]), pa.array(start[c].astype(np.int32)), pa.array(pick(np.maximum, end).astype(np.int32)), pa.array(pick(np.minimum, source))], ["doc_id", "start_char", "end_char", "first_doc_id"])
-
-    step = docs.select("doc_id", "text").mapInArrow(send, blocks.SCHEMA)
-    for run in (repeated, runs, order_suffixes):
-        step = blocks.exchange(step, run, reducers)
+        _, doc, what, source = blocks.joined(blocks.gather(batches, {FOUND: kind})[FOUND], kind)
+        doc, start, end, source = united(doc, what["start"], what["start"] + what["n"], source)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(source)], ["doc_id", "start_char", "end_char", "first_doc_id"])
+
+    rows = docs.select("doc_id", "text")
+    step = blocks.exchange(rows.mapInArrow(send, blocks.SCHEMA), meet, reducers)
+    step = blocks.exchange(step.union(rows.mapInArrow(send_texts, blocks.SCHEMA)), fetch, reducers)
+    step = blocks.exchange(step, order_suffixes, reducers)
     return blocks.exchange(step, unite, reducers, "doc_id long, start_char int, end_char int, first_doc_id long")
 
 
@@ -208,4 +386,17 @@ def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES, SQL = {"op9_phrase_dedup": op9_phrase_dedup}, {}
+QUERIES = {"op9_phrase_dedup": op9_phrase_dedup}
+SQL = {
+    "op9_phrase_dedup": f"""
+    WITH c AS (SELECT doc_id, text, unnest(range(0, length(text) - {MIN_CHARS} + 1, 1000)) AS s FROM documents WHERE doc_id IS NOT NULL),
+    p AS (SELECT doc_id, s, substr(text, s + 1, {1000 + MIN_CHARS - 1}) AS part FROM c),
+    j AS (SELECT doc_id, s, part, unnest(range(0, length(part) - {MIN_CHARS} + 1)) AS j FROM p),
+    w AS (SELECT DISTINCT doc_id, s + j AS s, substr(part, j + 1, {MIN_CHARS}) AS x FROM j),
+    t AS (SELECT x, min(doc_id) AS f, count(*) AS n FROM w GROUP BY x HAVING n > 1),
+    o AS (SELECT w.x, f, min(s) AS origin FROM w JOIN t ON w.x = t.x AND w.doc_id = f GROUP BY w.x, f),
+    again AS (SELECT DISTINCT doc_id, s, f FROM w JOIN o ON w.x = o.x WHERE doc_id > f OR s > origin),
+    isle AS (SELECT *, max(s + {MIN_CHARS}) OVER (PARTITION BY doc_id ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM again),
+    run AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, f ROWS UNBOUNDED PRECEDING) AS island FROM isle)
+    SELECT doc_id, CAST(min(s) AS INTEGER) AS start_char, CAST(max(s) + {MIN_CHARS} AS INTEGER) AS end_char, min(f) AS first_doc_id FROM run GROUP BY doc_id, island"""
+}

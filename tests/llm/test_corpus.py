@@ -299,6 +299,67 @@ def test_phrases_against_brute_force(spark):
                 assert len(marked[d] & set(range(i, i + len(passage)))) >= len(passage) - slack
 
 
+def plain_repeats(rows, least):
+    """Unions of the stretches of `least` characters that have an earlier occurrence, by (doc_id, place), each with the least document of its stretches."""
+    seen, found = {}, []
+    places = sorted({(d, i, t[i : i + least]) for d, t in rows if d is not None and t for i in range(len(t) - least + 1)})
+    for d, i, x in places:
+        seen.setdefault(x, (d, i))
+    for d, i, x in places:
+        if seen[x] != (d, i):
+            if found and found[-1][0] == d and i <= found[-1][2]:
+                found[-1] = (d, found[-1][1], max(found[-1][2], i + least), min(found[-1][3], seen[x][0]))
+            else:
+                found.append((d, i, i + least, seen[x][0]))
+    return found
+
+
+def shared_passages():
+    """Passages of every length about MIN_CHARS, at any place, within other text, in each other, beside themselves, in periods, and in rows that share a doc_id."""
+    r, least = random.Random(61), phrase_dedup.MIN_CHARS
+    letters = lambda n: "".join(r.choice("abcd \u00fc\U0001f600") for _ in range(n))
+    rows = [(k, letters(r.randint(0, 400))) for k in range(60)]
+    for k in range(40):
+        passage = letters(r.choice([least - 1, least, least + 1, r.randint(least, 2 * least), r.randint(least, 5 * least)]))
+        for j in r.sample(range(60), 3):
+            d, t = rows[j]
+            cut, e = r.randint(0, len(t)), r.randint(0, 40) * (k % 2)
+            rows[j] = (d, t[:cut] + passage[e:] + t[cut:])
+    rows += [(60, "a" * 900), (61, "x" + "a" * 333 + "b"), (62, "ab" * 300), (63, "b" + "abc" * 200 + "abcab"), (64, "zabc" * 20 + "ab" * 120), (65, letters(30) + "abc" * 90)]
+    rows += [(66, rows[3][1] * 3), (67, rows[5][1]), (67, rows[5][1]), (67, "q" + rows[6][1]), (67, rows[5][1][:200] + rows[7][1]), (68, None), (None, rows[5][1]), (69, "")]
+    return rows + [(-5, rows[9][1]), (70, letters(149)), (71, letters(150))]
+
+
+@pytest.mark.parametrize("held", [None, 1])
+def test_repeats_of_any_length_and_place_are_whole(spark, monkeypatch, held):
+    if held:  # each core by itself, texts sent one piece at a time
+        monkeypatch.setattr(phrase_dedup, "ORDERED", held)
+        monkeypatch.setattr(phrase_dedup, "HELD", held)
+    rows = shared_passages()
+    got = sorted(tuple(x) for x in phrase_dedup.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == plain_repeats(rows, phrase_dedup.MIN_CHARS) and len(got) > 40
+
+
+def test_sql_of_repeats():
+    import duckdb
+
+    rows, db = shared_passages(), duckdb.connect()
+    documents = pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    db.register("documents", documents)
+    assert sorted(db.sql(phrase_dedup.SQL["op9_phrase_dedup"]).fetchall()) == plain_repeats(rows, phrase_dedup.MIN_CHARS)
+
+
+def test_suffixes_come_in_the_order_of_the_corpus():
+    import numpy as np
+
+    for least in (1, 400):  # texts with and without triggers
+        part = [t for _, t in shared_passages() if t and len(t) >= least]
+        ends, code = np.r_[0, np.cumsum([len(t) for t in part])], phrase_dedup.points(part)
+        order = phrase_dedup.corpus_order(code, ends, np.arange(len(code))).tolist()
+        suffixes = [t[k:] for t in part for k in range(len(t))]
+        assert [suffixes[k] for k in order] == sorted(suffixes)
+
+
 def plain_score(a, b):
     best, prev = 0, [0] * (len(b) + 1)
     for x in a:
