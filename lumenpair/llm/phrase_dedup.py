@@ -152,8 +152,19 @@ def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray, source: np.ndarr
     return doc[cut], start[cut], np.maximum.reduceat(end, cut), np.minimum.reduceat(source, cut)
 
 
-def repeats(code: np.ndarray, ends: np.ndarray, count: np.ndarray, doc: np.ndarray, low: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+def copies(part: list[str], count: np.ndarray, doc: np.ndarray, low: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """What repeats() gives, of blocks with one place each, most of which have the same text: that needs no order."""
+    lead: dict[str, int] = {}
+    for k in np.lexsort((low, doc)).tolist():
+        lead.setdefault(part[k], k)
+    first = np.array([lead[t] for t in part])
+    again = (doc != doc[first]) | (low != low[first])
+    return united(doc[again], low[again], low[again] + MIN_CHARS, doc[first][again]), doc[first]
+
+
+def repeats(part: list[str], count: np.ndarray, doc: np.ndarray, low: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """(doc, start, end, source) of the repeats in the texts of blocks with count places each, the first at low; and the least source of each block's places."""
+    code, ends = points(part), np.r_[0, np.cumsum([len(t) for t in part])]
     block = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
     at, place, of = ends[block] + step, low[block] + step, doc[block]
@@ -318,22 +329,33 @@ def spans(docs: DataFrame) -> DataFrame:
         start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
         return start, np.r_[start[1:], len(x)][: len(start)]
 
-    def shares(row, part):
-        """(which blocks, their texts, places in each, the first of these) of what is ordered at once: all, or of a core with too much text the places that are as far from the trigger, in shares by their text."""
-        back, ahead = row["back"].astype(np.int64), row["ahead"].astype(np.int64)
-        if sum(map(len, part)) <= ORDERED or len(part) == 1:
-            yield np.arange(len(row)), part, back - ahead + 1, row["at"] - back
-            return
-        for r in range(WINDOW):
-            own = np.flatnonzero((ahead <= r) & (r <= back))
-            if not len(own):
-                continue
-            piece = [part[k][b - r : b - r + MIN_CHARS] for k, b in zip(own.tolist(), back[own].tolist())]
-            share = np.array([hash(t) for t in piece]) % (1 + MIN_CHARS * len(own) // ORDERED)
-            order = np.argsort(share, kind="stable")
-            for s, e in zip(*edges(share[order])):
-                k = order[s:e]
-                yield own[k], [piece[j] for j in k], np.ones(len(k), np.int64), row["at"][own[k]].astype(np.int64) - r
+    def shares(row, part, own, least, most):
+        """(which blocks, their texts, places in each, the first of these, how to find repeats) of what is compared at once: all of the places that are least to most characters before the
+        trigger. If these have too much text, either half of them: such places share more than the core, and only blocks that have it in common, two or more, are compared."""
+        back, ahead = np.minimum(row["back"][own], most).astype(np.int64), np.maximum(row["ahead"][own], least).astype(np.int64)
+        some = back >= ahead
+        own, back, ahead = own[some], back[some], ahead[some]
+        size = back - ahead + MIN_CHARS
+        cut = lambda k, b, a: part[k][int(row["back"][k]) - b : int(row["back"][k]) - a + MIN_CHARS]
+        if len(own) and (len(own) == 1 or least == most or size.sum() <= ORDERED):
+            how = repeats if size.sum() <= ORDERED else copies
+            yield own, [cut(*x) for x in zip(own.tolist(), back.tolist(), ahead.tolist())], back - ahead + 1, row["at"][own] - back, how
+        elif len(own):
+            middle = (least + most) // 2
+            for low, high in ((least, middle), (middle + 1, most)):
+                has = np.flatnonzero((back >= low) & (ahead <= high))
+                key = np.array([hash(cut(k, low, high)) for k in own[has].tolist()], np.int64)
+                has, key = has[order := np.argsort(key, kind="stable")], key[order]
+                held, n = [], 0
+                for s, e in zip(*edges(key)):
+                    if e - s > 1:
+                        if held and n + size[has[s:e]].sum() > ORDERED:
+                            yield from shares(row, part, np.concatenate(held), low, high)
+                            held, n = [], 0
+                        held.append(own[has[s:e]])
+                        n += size[has[s:e]].sum()
+                if held:
+                    yield from shares(row, part, np.concatenate(held), low, high)
 
     def order_suffixes(batches):
         """The repeats, sent to their document."""
@@ -359,8 +381,8 @@ def spans(docs: DataFrame) -> DataFrame:
                     continue
                 lead = np.flatnonzero(row["fetch"][begin:e]) + begin
                 least = row["doc"][lead].copy()
-                for own, piece, count, first in shares(row[lead], [part[k] for k in lead]):
-                    (doc, start, end, source), found = repeats(points(piece), np.r_[0, np.cumsum([len(t) for t in piece])], count, row["doc"][lead[own]], first)
+                for own, piece, count, first, how in shares(row[lead], [part[k] for k in lead], np.arange(len(lead)), 0, WINDOW - 1):
+                    (doc, start, end, source), found = how(piece, count, row["doc"][lead[own]], first)
                     yield from out.add(home(doc), doc, span(start, end), source)
                     least[own] = np.minimum(least[own], found)
                 copy = np.flatnonzero(~row["fetch"][begin:e]) + begin
