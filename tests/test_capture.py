@@ -71,6 +71,26 @@ def test_records_and_lines_of_a_table(spark):
     assert C.records(words.limit(0)).count() == 0
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_are_read_by_batches(spark):
+    """Many captures a call of Python: a call for each takes milliseconds of its own."""
+    lines = [["Patient:", "Roe,", "Jo"], ["Quantity:", "2O", "EA"], ["Refills:", "l"], ["Directions:", "TAKE", "1"]]
+    rows = [(k, j, w.text, w.x, w.y, w.w, w.h) for k in range(40) for j, w in enumerate(w for n in range(k % 5) for w in row(20 * n, *lines[n]))]
+    odd = [(50, 0, "Patient:", None, 0.0, 1.0, 1.0), (50, 1, None, 90.0, 0.0, 1.0, 1.0)]
+    words = spark.createDataFrame(rows[::-1] + odd, "capture int, word int, text string, x double, y double, w double, h double")
+    got = C.records(words)
+    assert "ArrowEvalPython" in plan_of(got) and "FlatMapGroups" not in plan_of(got)
+    found = {r.capture: r for r in got.collect()}
+    assert set(found) == {50} | {k for k in range(40) if k % 5}
+    for k in set(found) - {50}:
+        record, notes = C.read([C.Word(*w[2:]) for w in rows if w[0] == k])
+        assert {n: v for n, v in found[k].record.asDict(recursive=True).items() if v is not None} == record
+        assert [(n.field, n.status, n.reason, n.value and n.value.text) for n in found[k].diagnostics] == [(n["field"], n["status"], n.get("reason"), n.get("value", {}).get("text")) for n in notes]
+
+
 def test_lines_by_running_means(spark):
     r = random.Random(2)
     rows = [(k, j, r.choice(["a", "b", " "]), float(r.randint(0, 300)), float(r.randint(0, 60)), 10.0, float(r.randint(0, 12))) for k in range(8) for j in range(25)]
