@@ -1,9 +1,12 @@
 """Words with their boxes made into rows, columns, cells and decisions. words(capture, word, text, x, y, w, h): `word` numbers a capture's words in their order.
 
-All work is by capture, in windows over its words; a capture is one screen, so its words are few, and no key holds more than one capture."""
+All work is by capture, in windows over its words; a capture is one screen, so its words are few, and no key holds more than one capture. A table's header and
+cells are read from one array of words a capture: nothing is joined, and nothing is shuffled but the words."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,59 +56,117 @@ def plain_label(label: Column) -> Column:
 
 def close_label(label: Column, expected: Column) -> Column:
     """The same but for case and spaces, or, of six letters or more, at an edit distance of one."""
-    a, b = plain_label(label), plain_label(expected)
+    return close_plain(plain_label(label), plain_label(expected))
+
+
+def close_plain(a: Column, b: Column) -> Column:
     return (a == b) | ((F.length(a) >= 6) & (F.length(b) >= 6) & (F.levenshtein(a, b) <= 1))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value being computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def each(df: DataFrame, keep: list, values: Column, name: str) -> DataFrame:
+    """`keep` and a row for each element of an array. The condition stands on the elements: one on the array would be carried below all that it is computed from, and each step would
+    compute it anew."""
+    return df.select(*keep, F.explode_outer(values).alias(name)).filter(c(name).isNotNull())
+
+
+def pages(rows: DataFrame) -> DataFrame:
+    """(capture, words) of table_rows(): a capture's words as one array in the order of their rows, so that what follows reads each word once, without joins."""
+    word = F.struct("row", "y", "x", c("word").cast("long").alias("word"), trimmed(c("text")).alias("t"), "w", "h")
+    return rows.groupBy("capture").agg(F.sort_array(F.collect_list(word)).alias("words"))
+
+
+def parted(words: Column, factor: float = 1.5) -> Column:
+    """columns() of an array of words: for each column its words, by x."""
+    ordered = F.sort_array(F.transform(words, lambda v: F.struct(v["x"].alias("x"), v["word"].alias("word"), v["y"].alias("y"), v["t"].alias("t"), v["w"].alias("w"), v["h"].alias("h"))))
+    heights = lambda ws: F.sort_array(F.array_compact(F.transform(ws, lambda v: v["h"])))
+    median = lambda hs: F.get(hs, F.floor((F.size(hs) - 1) / 2).cast("int")) * 0.5 + F.get(hs, F.floor(F.size(hs) / 2).cast("int")) * 0.5
+    measured = lambda ws: F.struct(ws.alias("ws"), let(heights(ws), median).alias("high"), F.transform(ws, lambda v: v["x"] + v["w"]).alias("ends"))
+
+    def begins(m: Column) -> Column:
+        new = lambda v, i: v["x"] - F.array_max(F.slice(m["ends"], 1, i)) >= factor * m["high"]
+        return F.concat(F.array(F.lit(0)), F.array_compact(F.transform(m["ws"], lambda v, i: F.when(new(v, i), i))))
+
+    cut = lambda m, b: F.transform(b, lambda k, i: F.slice(m["ws"], k + 1, F.coalesce(F.get(b, i + 1), F.size(m["ws"])) - k))
+    return let(let(ordered, measured), lambda m: let(begins(m), lambda b: cut(m, b)))
+
+
+def read_label(words: Column) -> Column:
+    """The label of a column's words, by lines."""
+    lines = F.sort_array(F.transform(words, lambda v: F.struct(v["y"].alias("y"), v["x"].alias("x"), v["word"].alias("word"), v["t"].alias("t"))))
+    return F.array_join(F.transform(lines, lambda v: v["t"]), " ")
+
+
+def candidates(pages: DataFrame, labels: list[str], scan: int = 12) -> DataFrame:
+    """pages with `candidates`, structs of start, span, score, top and bottom: each window of one or two rows that may be the header, none of which holds a data row, that lies within
+    the first `scan` rows, and with no data row before it behind an earlier window that scores. score counts the labels that one of its columns has."""
+    early = F.filter("words", lambda v: v["row"] < scan)
+    seen = pages.withColumn("_early", early).withColumn("_n", F.coalesce(F.array_max(F.transform("_early", lambda v: v["row"])) + 1, F.lit(0)))
+    seen = seen.withColumn("_data", F.array_distinct(F.transform(F.filter("_early", lambda v: v["t"].rlike(AMOUNT)), lambda v: v["row"])))
+    seen = seen.withColumn("_starts", F.array_except(F.sequence(F.lit(0), c("_n") - 1), c("_data")))
+    pair = F.filter("_starts", lambda k: F.array_contains("_starts", k + 1))
+    span = lambda n: lambda k: F.struct(k.alias("start"), F.lit(n).alias("span"), F.filter("_early", lambda v: (v["row"] >= k) & (v["row"] < k + n)).alias("ws"))
+    known = lambda v: F.transform(parted(v["ws"]), lambda ws: plain_label(read_label(ws)))
+    like = lambda x: lambda v: close_plain(v, plain_label(F.lit(x)))
+    score = lambda ls: sum((F.exists(ls, like(x)).cast("int") for x in labels), F.lit(0))
+    scored = lambda v: F.struct(v["start"].alias("start"), v["span"].alias("span"), let(known(v), score).alias("score"), F.array_min(F.transform(v["ws"], lambda w: w["y"])).alias("top"), F.array_max(F.transform(v["ws"], lambda w: w["y"] + w["h"])).alias("bottom"))
+    found = seen.withColumn("_windows", F.concat(F.transform("_starts", span(1)), F.transform(pair, span(2)))).withColumn("_scored", F.transform("_windows", scored))
+    first = F.array_min(F.transform(F.filter("_scored", lambda v: v["score"] > 0), lambda v: v["start"]))
+    stop = let(first, lambda f: F.array_min(F.filter("_data", lambda k: k > f)))
+    return found.select("capture", "words", let(stop, lambda s: F.filter("_scored", lambda v: s.isNull() | (v["start"] < s))).alias("candidates"))
+
+
 def header_candidates(rows: DataFrame, labels: list[str], scan: int = 12) -> DataFrame:
-    """(capture, start, span, score, top, bottom) of each window of one or two rows that may be the header: none holds a data row, it lies within the first `scan` rows, and no data
-    row behind an earlier window that scores comes before it. score counts the labels that one of its columns has."""
-    data = data_rows(rows)
-    n = data.groupBy("capture").agg((F.max("row") + 1).alias("_n"))
-    starts = data.join(n, "capture").filter(~c("is_data") & (c("row") < scan))
-    limit = F.least(c("_n"), F.lit(scan))
-    windows = starts.select("capture", c("row").alias("start"), limit.alias("_limit"), F.explode(F.array(F.lit(1), F.lit(2))).alias("span")).filter(c("start") + c("span") <= c("_limit")).drop("_limit")
-    second = data.select("capture", (c("row") - 1).alias("start"), c("is_data").alias("_data2"))
-    windows = windows.join(second, ["capture", "start"], "left").filter((c("span") == 1) | ~F.coalesce(c("_data2"), F.lit(False))).drop("_data2")
-    held = windows.join(rows, "capture").filter((c("row") >= c("start")) & (c("row") < c("start") + c("span")))
-    bands = columns(held, ["capture", "start", "span"])
-    hits = [F.max(F.when(close_label(c("label"), F.lit(x)), 1).otherwise(0)) for x in labels]
-    score = bands.groupBy("capture", "start", "span").agg(sum(hits[1:], hits[0]).alias("score"))
-    edges = held.groupBy("capture", "start", "span").agg(F.min("y").alias("top"), F.max(c("y") + c("h")).alias("bottom"))
-    scored = score.join(edges, ["capture", "start", "span"])
-    first = scored.filter("score > 0").groupBy("capture").agg(F.min("start").alias("_first"))
-    stop = data.join(first, "capture").filter(c("is_data") & (c("row") > c("_first"))).groupBy("capture").agg(F.min("row").alias("_stop"))
-    return scored.join(stop, "capture", "left").filter(c("_stop").isNull() | (c("start") < c("_stop"))).drop("_stop")
+    """(capture, start, span, score, top, bottom) of candidates()."""
+    return each(candidates(pages(rows), labels, scan), ["capture"], c("candidates"), "_c").select("capture", "_c.*")
 
 
 def header(candidates: DataFrame) -> DataFrame:
-    """The best window of each capture: the highest score over 0, then the earliest start, then the longer span."""
-    best = candidates.filter("score > 0").groupBy("capture").agg(F.min(F.struct((-c("score")).alias("s"), "start", (-c("span")).alias("n"), "top", "bottom")).alias("_b"))
-    return best.select("capture", c("_b.start").alias("start"), (-c("_b.n")).alias("span"), c("_b.top").alias("top"), c("_b.bottom").alias("bottom"), (-c("_b.s")).alias("score"))
+    """(capture, words, head): the best window of each capture, as of candidates(): the highest score over 0, then the earliest start, then the longer span. A capture without is left out."""
+    ranked = F.transform(F.filter("candidates", lambda v: v["score"] > 0), lambda v: F.struct((-v["score"]).alias("s"), v["start"].alias("start"), (-v["span"]).alias("n"), v.alias("v")))
+    return each(candidates, ["capture", "words"], F.array(F.array_min(ranked)["v"]), "head")
+
 
+def header_columns(heads: DataFrame) -> DataFrame:
+    """header() with `bands`, the columns of each capture's header as columns() gives them."""
+    end = c("head.start") + c("head.span")
+    held = F.filter("words", lambda v: (v["row"] >= c("head.start")) & (v["row"] < end))
+    band = lambda ws, i: F.struct(i.alias("column"), read_label(ws).alias("label"), F.array_min(F.transform(ws, lambda v: v["x"])).alias("left"), F.array_max(F.transform(ws, lambda v: v["x"] + v["w"])).alias("right"))
+    center, wide = lambda b: (b["left"] + b["right"]) / 2, lambda b: b["right"] - b["left"]
+    near = lambda b, i: (center(b) + center(F.get("_bands", i))) / 2
+    whole = lambda b, i: F.struct(*[b[k].alias(k) for k in ("column", "label", "left", "right")], F.coalesce(near(b, i - 1), b["left"] - wide(b)).alias("lo"), F.coalesce(near(b, i + 1), b["right"] + wide(b)).alias("hi"))
+    return heads.withColumn("_bands", F.transform(parted(held), band)).withColumn("bands", F.transform("_bands", whole)).drop("_bands")
 
-def header_columns(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """columns() of each capture's header."""
-    held = heads.select("capture", "start", "span").join(rows, "capture").filter((c("row") >= c("start")) & (c("row") < c("start") + c("span")))
-    return columns(held, ["capture"])
+
+def first_band(label: str) -> Column:
+    """The first of header_columns() whose label is the same but for case and spaces; null where none is."""
+    return F.get(F.filter("bands", lambda b: plain_label(b["label"]) == plain_label(F.lit(label))), F.lit(0))
 
 
 def resolved(bands: DataFrame, label: str) -> DataFrame:
-    """The first column of each capture whose label is the same but for case and spaces."""
-    first = bands.filter(plain_label(c("label")) == plain_label(F.lit(label))).groupBy("capture").agg(F.min("column").alias("column"))
-    return bands.join(first, ["capture", "column"])
+    """(capture, column, label, left, right, lo, hi): the first column of each capture whose label is the same but for case and spaces."""
+    return each(bands, ["capture"], F.array(first_band(label)), "_b").select("capture", "_b.*")
 
 
-def body(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """The words below each capture's header, with `line`, their row counted from it."""
-    return rows.join(heads.select("capture", (c("start") + c("span")).alias("_end")), "capture").filter(c("row") >= c("_end")).withColumn("line", c("row") - c("_end")).drop("_end")
+def named_cells(bands: DataFrame, labels: dict[str, str]) -> DataFrame:
+    """(capture, line, one column for each name) of header_columns(): the words of each line below the header, counted from it, whose centre lies in the column of that label, by x;
+    without any, the cell is empty. The cells of a column that a capture doesn't have are null."""
+    end = c("head.start") + c("head.span")
+    below = bands.select("capture", end.alias("_end"), F.filter("words", lambda v: v["row"] >= end).alias("_below"), *[first_band(x).alias(f"_{n}") for n, x in labels.items()])
+    known = each(below, ["capture", "_end", *[c(f"_{n}.{k}").alias(f"_{n}_{k}") for n in labels for k in ("lo", "hi")]], c("_below"), "v")
+    middle = c("v.x") + c("v.w") / 2
+    inside = lambda n: (middle >= c(f"_{n}_lo")) & (middle < c(f"_{n}_hi"))
+    text = lambda n: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(inside(n), F.struct(c("v.x").alias("x"), c("v.word").alias("word"), c("v.t").alias("t"))))), lambda v: v["t"]), " ")
+    return known.groupBy("capture", (c("v.row") - c("_end")).alias("line")).agg(*[F.when(F.max(f"_{n}_lo").isNotNull(), text(n)).alias(n) for n in labels])
 
 
-def cells(lines: DataFrame, band: DataFrame) -> DataFrame:
-    """(capture, line, cell): the words of each line whose centre lies in the capture's band, by x; a line without any has an empty cell."""
-    inside = lines.join(band.select("capture", "lo", "hi"), "capture").withColumn("_in", (c("x") + c("w") / 2 >= c("lo")) & (c("x") + c("w") / 2 < c("hi")))
-    found = F.array_sort(F.collect_list(F.when(c("_in"), F.struct("x", "word", trimmed(c("text")).alias("t")))))
-    return inside.groupBy("capture", "line").agg(F.array_join(F.transform(found, lambda v: v["t"]), " ").alias("cell"))
+def cells(bands: DataFrame, label: str) -> DataFrame:
+    """(capture, line, cell): named_cells() of one column, of the captures that have it."""
+    return named_cells(bands, {"cell": label}).filter("cell IS NOT NULL")
 
 
 def bounds(lines: DataFrame) -> DataFrame:
@@ -129,36 +190,25 @@ def even_bounds(lines: DataFrame) -> DataFrame:
     return high.select("capture", "line", "left", F.when(some, middle - half).otherwise(c("top")).alias("top"), "right", F.when(some, middle + half).otherwise(c("bottom")).alias("bottom"))
 
 
+def table_of(words: DataFrame, labels: list[str]) -> DataFrame:
+    """(capture, words, head, bands): each capture's header and its columns; captures without a header are left out."""
+    return header_columns(header(candidates(pages(table_rows(words)), labels)))
+
+
 def zero_quantities(words: DataFrame, label: str) -> DataFrame:
     """(capture, line, state) of the lines of a column whose quantity can be read."""
-    rows = table_rows(words)
-    heads = header(header_candidates(rows, [label]))
-    return cells(body(rows, heads), resolved(header_columns(rows, heads), label)).withColumn("state", R.zero_state(c("cell"))).select("capture", "line", "state")
+    return cells(table_of(words, [label]), label).withColumn("state", R.zero_state(c("cell"))).select("capture", "line", "state")
 
 
 def annotations(words: DataFrame, labels: tuple[str, str, str] = (SUPPLIER, COST, SIZE)) -> DataFrame:
     """(capture, line, kind, text) of a table of offers: `savings` of each line cheaper than the cheapest of the primary supplier, that line as `baseline`, the best line of each class of
     package, and on line -1 whether the costs are sorted. A capture without a header, supplier or cost column has none."""
     supplier, cost, size = labels
-    rows = table_rows(words)
-    heads = header(header_candidates(rows, [supplier, cost]))
-    found = named_cells(body(rows, heads), header_columns(rows, heads), {"supplier": supplier, "cost_text": cost, "size_text": size})
+    found = named_cells(table_of(words, [supplier, cost]), {"supplier": supplier, "cost_text": cost, "size_text": size})
     table = found.filter("supplier IS NOT NULL AND cost_text IS NOT NULL")
     return offers(table.withColumn("cost", currency(c("cost_text"))).withColumn("primary", R.is_primary(c("supplier"))))
 
 
-def named_cells(lines: DataFrame, bands: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """(capture, line, one column for each name): cells() of several columns at once. The cells of a column that a capture doesn't have are null."""
-    name = F.create_map(*[F.lit(x) for n, label in labels.items() for x in (" ".join(label.lower().split()), n)])
-    known = bands.withColumn("_name", F.try_element_at(name, plain_label(c("label")))).filter("_name IS NOT NULL")
-    first = known.groupBy("capture", "_name").agg(F.min(F.struct("column", "lo", "hi")).alias("_b")).groupBy("capture").agg(F.map_from_entries(F.collect_list(F.struct("_name", "_b"))).alias("_bands"))
-    middle = c("x") + c("w") / 2
-    band = lambda n: F.try_element_at("_bands", F.lit(n))
-    text = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when((middle >= band(n)["lo"]) & (middle < band(n)["hi"]), F.struct("x", "word", trimmed(c("text")).alias("t"))))), lambda v: v["t"]), " ")
-    joined = lines.join(first, "capture")
-    return joined.groupBy("capture", "line").agg(*[F.when(F.max(band(n)["lo"]).isNotNull(), text(n)).alias(n) for n in labels])
-
-
 def offers(table: DataFrame) -> DataFrame:
     """annotations() of table(capture, line, primary, cost, size_text): windows over a capture's lines, so one shuffle."""
     all_, before = W.partitionBy("capture"), W.partitionBy("capture").orderBy("line").rowsBetween(*BEFORE)

@@ -41,15 +41,16 @@ def offer_words(spark, d):
 
     two = c("capture") % 7 == 0
     high = F.when(two, 34.0).otherwise(20.0)
-    head = F.array(
+    head = (
         word("Offers", 10, 0, 50), word(F.when(c("capture") % 5 == 0, "Supplyer").otherwise("Supplier"), 10, 20, 60), word("Rebate", 200, 20, 45), word("Cost/Unit", 200, high, 60).withField("x", F.when(two, 200.0).otherwise(250.0)),
         word("Shipping", 400, 20, 60), word("Size", 470, 20, 30),
     )
-    heads = rows.select("capture").distinct().select("capture", F.posexplode(head).alias("word", "v"))
     y = 60.0 + number(c("line")) * 20
-    own = F.array(word(c("supplier"), 10, y, 60), word(c("cost"), 205, y, 60), word(F.concat(F.lit("with "), c("amount").cast("string"), F.lit(".0")), 405, y, 90))
-    body = rows.select("capture", (100 + c("line") * 3).alias("base"), F.posexplode(own).alias("k", "v")).select("capture", (c("base") + c("k")).alias("word"), "v")
-    return heads.unionByName(body).select("capture", c("word").cast("long").alias("word"), "v.*")
+    own = (word(c("supplier"), 10, y, 60), word(c("cost"), 205, y, 60), word(F.concat(F.lit("with "), c("amount").cast("string"), F.lit(".0")), 405, y, 90))
+    of_line = [F.struct((100 + c("line") * 3 + i).cast("long").alias("word"), v.alias("v")) for i, v in enumerate(own)]
+    of_head = [F.struct(F.lit(i).cast("long").alias("word"), v.alias("v")) for i, v in enumerate(head)]
+    drawn = rows.select("capture", F.explode_outer(F.when(c("line") == 0, F.array(*of_head, *of_line)).otherwise(F.array(*of_line))).alias("_w"))
+    return drawn.select("capture", "_w.word", "_w.v.*")
 
 
 def x1_rows(spark, d):
@@ -68,27 +69,20 @@ def a18_label_scores(spark, d):
 
 
 def x3_header(spark, d):
-    return layout.header(layout.header_candidates(layout.table_rows(offer_words(spark, d)), LABELS)).select("capture", c("start").cast("long").alias("start"), c("span").cast("long").alias("span"), c("score").cast("long").alias("score"), "top", "bottom")
+    heads = layout.header(layout.candidates(layout.pages(layout.table_rows(offer_words(spark, d))), LABELS))
+    return heads.select("capture", *[c(f"head.{k}").cast("long").alias(k) for k in ("start", "span", "score")], "head.top", "head.bottom")
 
 
 def x4_columns(spark, d):
     return layout.columns(event_words(spark, d), ["capture"]).select("capture", c("column").cast("long").alias("column"), "label", "left", "right", "lo", "hi")
 
 
-def table_of(spark, d):
-    rows = layout.table_rows(offer_words(spark, d))
-    heads = layout.header(layout.header_candidates(rows, LABELS))
-    return rows, heads, layout.header_columns(rows, heads)
-
-
 def x5_resolved(spark, d):
-    _, _, bands = table_of(spark, d)
-    return layout.resolved(bands, "rebate  COST/unit").select("capture", c("column").cast("long").alias("column"), "label")
+    return layout.resolved(layout.table_of(offer_words(spark, d), LABELS), "rebate  COST/unit").select("capture", c("column").cast("long").alias("column"), "label")
 
 
 def x6_cells(spark, d):
-    rows, heads, bands = table_of(spark, d)
-    return layout.cells(layout.body(rows, heads), layout.resolved(bands, layout.COST)).select("capture", c("line").cast("long").alias("line"), "cell")
+    return layout.cells(layout.table_of(offer_words(spark, d), LABELS), layout.COST).select("capture", c("line").cast("long").alias("line"), "cell")
 
 
 def x12_annotations(spark, d):

@@ -100,3 +100,22 @@ def test_lines_by_running_means(spark):
         some = [(j, C.Word(t, x, y, w, h)) for c, j, t, x, y, w, h in rows if c == k and t.strip()]
         place = {id(w): n for n, line in enumerate(C.lines_of([w for _, w in some])) for w in line}
         assert {j: place[id(w)] for j, w in some} == {j: n for (c, j), n in got.items() if c == k}
+
+
+def test_a_table_is_read_in_one_pass(spark):
+    """Header, columns and cells of many captures without a join: the words are scanned, and put together by capture, once."""
+    titles = ["Supplier", "Rebate", "Cost/Unit"]
+    rows = []
+    for k in range(6):
+        rows += [(k, 0, "Offers", 10.0, 0.0, 50.0, 12.0)] + [(k, 1 + i, "Suppleir" if k == 5 and i == 0 else t, [10.0, 200.0, 250.0][i], 20.0, [60.0, 45.0, 60.0][i], 12.0) for i, t in enumerate(titles)]
+        rows += [(k, 10 + 2 * n + i, [f"s{n}", f"{n}.50"][i], [10.0, 205.0][i], 40.0 + 20 * n, 60.0, 12.0) for n in range(k) for i in range(2)]
+    rows += [(8, 0, "nothing", 0.0, 0.0, 10.0, 10.0), (9, 0, " ", 0.0, 0.0, 10.0, 10.0)]
+    words = spark.createDataFrame(rows[::-1], "capture int, word int, text string, x double, y double, w double, h double")
+    table = layout.table_of(words, [layout.SUPPLIER, layout.COST])
+    cells = layout.named_cells(table, {"supplier": layout.SUPPLIER, "cost": layout.COST, "size": layout.SIZE})
+    assert "Join" not in plan_of(cells) and plan_of(cells).count("Exchange") <= 2
+    heads = {r.capture: r.head for r in table.select("capture", "head").collect()}
+    assert {k: (h.start, h.span, h.score, h.top, h.bottom) for k, h in heads.items()} == {k: (1, 1, 2, 20.0, 32.0) for k in range(5)} | {5: (0, 2, 1, 0.0, 32.0)}
+    got = {(r.capture, r.line): (r.supplier, r.cost, r.size) for r in cells.collect()}
+    assert got == {(k, n): (None if k == 5 else f"s{n}", f"{n}.50", None) for k in range(6) for n in range(k)}
+    assert layout.resolved(table, "rebate  COST/unit").filter("column = 1 AND label = 'Rebate Cost/Unit'").count() == 6
