@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,15 @@ def redacted(field: Column, value: Column, private: tuple[str, ...] = ("patientN
 
 
 def leaks_fragment(value: Column, text: Column, n: int = 5) -> Column:
-    """Whether the text holds any n characters of the value, both in lower case without anything but letters and digits. A shorter value leaks nothing."""
+    """Whether the text holds any n characters of the value, both in lower case without anything but letters and digits. A shorter value leaks nothing.
+    Each text is cut into its runs once, so the work grows with its length."""
     norm = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
-    v = norm(value)
-    grams = F.when(F.length(v) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(v) - n + 1, F.lit(1))), lambda i: F.substring(v, i, n)))
-    return F.coalesce(F.exists(grams, lambda g: norm(text).contains(g)), F.lit(False))
+
+    def shared(value: pa.Array, text: pa.Array) -> pa.Array:
+        grams = lambda s: {s[i : i + n] for i in range(len(s) - n + 1)}
+        return pa.array([not grams(v).isdisjoint([t[i : i + n] for i in range(len(t) - n + 1)]) for v, t in zip(value.to_pylist(), text.to_pylist())], pa.bool_())
+
+    return F.arrow_udf(shared, "boolean")(norm(value), norm(text))
 
 
 WORDS = "array<struct<text:string,x:double,y:double,w:double,h:double>>"

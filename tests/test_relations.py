@@ -77,3 +77,11 @@ def test_requests(spark):
 def test_leaks(spark):
     leak = lambda v, t: spark.sql("SELECT 1").select(requests.leaks_fragment(F.lit(v).cast("string"), F.lit(t).cast("string")).alias("x")).first()["x"]
     assert [leak("Jordan", "it was JOR-DAN"), leak("Ann", "Ann"), leak(None, "x"), leak("Jordan", None), leak("Jordan", "jord")] == [True, False, False, False, False]
+
+
+def test_leaks_cut_each_text_once(spark):
+    rows = [("Jordan é Smith", "x" * 3000 + " Dan-S"), ("ab" * 1000, "ba" * 2000), ("ab" * 1000, "a b x" * 2000), ("ABCD", "abcd"), (None, None)]
+    df = spark.createDataFrame(rows, "v string, t string").select(requests.leaks_fragment(F.col("v"), F.col("t")).alias("x"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "exists(" not in plan  # there each run of the value wrote the whole text anew
+    assert [r.x for r in df.collect()] == [False, True, False, False, False]
