@@ -34,12 +34,13 @@ def prefixes(tokens: Column, most: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.least(F.size(tokens), F.lit(most))), lambda i: F.struct(i.alias("n"), F.array_join(F.slice(tokens, 1, i), " ").alias("key")))
 
 
-def candidates(names: DataFrame, index: DataFrame, value: str, most: int) -> DataFrame:
+def candidates(names: DataFrame, index: DataFrame, value: str, most: int, keys: DataFrame | None = None) -> DataFrame:
     """(name, letter, strength, qualifier, value): every value under the longest key of index(name_key, value) that the folded name begins with, as it is (letter '') and
-    with a letter more at the end of a first token of 8 characters or more. names(name, text, tokens, strength, qualifier) are distinct."""
+    with a letter more at the end of a first token of 8 characters or more. names(name, text, tokens, strength, qualifier) are distinct. `keys` are those of index
+    where it lacks some."""
     some = names.filter(F.size("tokens") > 0)
     own = some.select("name", "strength", "qualifier", F.explode(prefixes(F.col("tokens"), most)).alias("p")).select("name", "strength", "qualifier", "p.n", F.col("p.key").alias("key"))
-    keys = index.select("name_key").distinct()
+    keys = (index if keys is None else keys).select("name_key").distinct()
     first = F.substring_index("name_key", " ", 1)
     short = F.expr("substring(substring_index(name_key, ' ', 1), 1, length(substring_index(name_key, ' ', 1)) - 1)")
     longer = keys.filter(first.rlike("[a-z]$") & (F.length(first) >= 9)).select(
@@ -70,12 +71,15 @@ def read_names(names: DataFrame, folded: Column | None = None) -> DataFrame:
 
 
 def by_names(names: DataFrame, concepts: DataFrame, index: DataFrame, most: int = 4) -> DataFrame:
-    """by_name of distinct names(name), by concepts(concept_id, display, ingredient, strength, form) and index(name_key, concept_id). What is ambiguous is missing."""
+    """by_name of distinct names(name), by concepts(concept_id, display, ingredient, strength, form) and index(name_key, concept_id). What is ambiguous is missing. A key's concepts that are
+    alike go as one, so a name meets as many rows as its key has kinds of concepts, however many concepts there are."""
     own = concepts.select("concept_id", "display", *[F.col(k).alias(f"_{k}") for k in TRIPLE], P.parse_product(F.col("display"))["qualifier"].alias("own_qualifier"))
-    found = candidates(read_names(names), index, "concept_id", most).join(own, "concept_id").withColumn("own_strength", F.col("_strength"))
     key = F.concat(F.lit("GX:"), F.concat_ws("|", *[f"_{k}" for k in TRIPLE]))
     result = F.struct(key.alias("id"), *[F.col(f"_{k}").alias(k) for k in TRIPLE], F.concat_ws(" ", "display", "_strength", "_form").alias("name"))
-    return narrowed(found, [F.col(f"_{k}") for k in TRIPLE], result).withColumnRenamed("result", "concept")
+    kinds = index.join(own, "concept_id").groupBy("name_key", "own_qualifier", *[f"_{k}" for k in TRIPLE]).agg(F.max(result).alias("best"))
+    values = kinds.select("name_key", F.struct("own_qualifier", *[f"_{k}" for k in TRIPLE], "best").alias("_v"))
+    found = candidates(read_names(names), values, "_v", most, index).select("name", "letter", "strength", "qualifier", "_v.*").withColumn("own_strength", F.col("_strength"))
+    return narrowed(found, [F.col(f"_{k}") for k in TRIPLE], F.col("best")).withColumnRenamed("result", "concept")
 
 
 def catalog_text(c: Column) -> Column:

@@ -85,3 +85,17 @@ def test_leaks_cut_each_text_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "exists(" not in plan  # there each run of the value wrote the whole text anew
     assert [r.x for r in df.collect()] == [False, True, False, False, False]
+
+
+def test_names_meet_kinds_of_concepts(spark, monkeypatch):
+    """Concepts of a name that are alike go as one: a name's rows don't grow with the makers of a product."""
+    from lumenpair.operators import products
+
+    makers = [(k, "Foo", "foo", "5mg" if k < 40 else "9mg", "tablet") for k in range(60)]
+    concepts = spark.createDataFrame(makers, "concept_id int, display string, ingredient string, strength string, form string")
+    index = spark.createDataFrame([("foo", k) for k in range(61)] + [("foo bar", 99)], "name_key string, concept_id int")  # 60 and 99 are of no concept
+    seen, real = [], products.narrowed
+    monkeypatch.setattr(products, "narrowed", lambda found, *a: seen.append(found.count()) or real(found, *a))
+    names = spark.createDataFrame([("foo 5 mg",), ("foo",), ("foo bar 5 mg",)], "name string")
+    got = {r.name: r.concept for r in products.by_names(names, concepts, index).collect()}
+    assert seen == [4] and {k: v and v.strength for k, v in got.items()} == {"foo 5 mg": "5mg"}
